@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import chat_format, decontaminate, packing, partenum, secret_scan
+from textquarry.llm import chat_format, compression_toxicity, decontaminate, imatch, packing, partenum, secret_scan, separator_scan, surrogates
 from textquarry.sources.shared import read_table
 
 
@@ -23,6 +23,28 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separator_scan.count_tokens(read_table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = compression_toxicity.fit_on_labels(docs, read_table(spark, sf_dir, "labels"))
+    scored = compression_toxicity.score_documents(docs, model)
+    return scored.select("doc_id", (compression_toxicity.remainder() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = imatch.compare_with_next(read_table(spark, sf_dir, "documents"))
+    prints = [F.lower(F.hex(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")]
+    return found.select("doc_id", "n_chars", "edited_sha256", *prints, "near_edited", "near_next")
+
+
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace_entities(docs, count_col="n_entities")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.jaccard_components(read_table(spark, sf_dir, "documents"), shingle=4, percent=85)
 
@@ -48,6 +70,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_separator_scan": op2_separator_scan,
+    "op3_toxicity": op3_toxicity,
+    "op4_imatch": op4_imatch,
+    "op5_surrogates": op5_surrogates,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_packing": op7_packing,
     "op8_chat_format": op8_chat_format,
