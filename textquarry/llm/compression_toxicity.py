@@ -4,7 +4,7 @@ Ordinary text and toxic text each train a dictionary. A text is cut into windows
 window is compressed with the ordinary dictionary alone and with the toxic one before it; the bytes
 that the toxic dictionary saves are the window's distance. A document's score is a logistic function of
 how many of its windows save at least so many bytes, whose weights and threshold are calibrated on
-labelled documents that no dictionary has seen.
+each half of the labelled documents with dictionaries trained on the other half.
 
 Most of a toxic document is ordinary. So the toxic dictionary is trained on what sets toxic text apart:
 stretches made of 5-byte strings that occur in a share of toxic documents at least `contrast` times
@@ -188,24 +188,33 @@ def _best_threshold(margin: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(texts: list[str | None], toxic: list[int], *, contrast: float = 12.0, least_share: float = 0.004, ordinary_size: int = 32768, toxic_size: int = 2048) -> Model:
-    """Dictionaries from the texts whose hash is even, calibration on the others; copies count once."""
+    """Two dictionaries from all texts; calibration on each half with dictionaries from the other. Copies count once."""
     rows = {}
     for text, label in zip(texts, toxic, strict=True):
         rows.setdefault(fold(text), label)
     prior = (sum(toxic) + 1) / (len(toxic) + 2)
-    even = {t: hashlib.blake2b(t, digest_size=1).digest()[0] % 2 == 0 for t in rows}
-    bad, good = ([t for t, y in rows.items() if even[t] and bool(y) == kind] for kind in (True, False))
-    check = [(t, y) for t, y in rows.items() if not even[t]]
-    y = np.array([float(bool(v)) for _, v in check])
-    if not bad or not good or not 0 < y.sum() < len(y):
-        return Model(b"", b"", None, prior)
-    telling = _telling(bad, good, contrast, least_share)
-    windows = [t[i : i + WINDOW] for t in good for i in range(0, len(t), WINDOW)]
-    random.Random(2).shuffle(windows)
-    model = Model(_dictionary(ordinary_size, windows[: 100 * ordinary_size // WINDOW]), _dictionary(toxic_size, [_stretches(t, telling) for t in bad]), None, prior)
-    x = features(model, [t.decode("utf-8", "surrogatepass") for t, _ in check])
+    half = {t: hashlib.blake2b(t, digest_size=1).digest()[0] % 2 for t in rows}
+
+    def trained(of: tuple[int, ...]) -> Model | None:
+        bad, good = ([t for t, y in rows.items() if half[t] in of and bool(y) == kind] for kind in (True, False))
+        if not bad or not good:
+            return None
+        telling = _telling(bad, good, contrast, least_share)
+        windows = [t[i : i + WINDOW] for t in good for i in range(0, len(t), WINDOW)]
+        random.Random(2).shuffle(windows)
+        return Model(_dictionary(ordinary_size, windows[: 100 * ordinary_size // WINDOW]), _dictionary(toxic_size, [_stretches(t, telling) for t in bad]), None, prior)
+
+    x, y = [], []
+    for k in (0, 1):
+        check = [(t, v) for t, v in rows.items() if half[t] == k]
+        if not check or (model := trained((1 - k,))) is None:
+            return Model(b"", b"", None, prior)
+        x.append(features(model, [t.decode("utf-8", "surrogatepass") for t, _ in check]))
+        y += [float(bool(v)) for _, v in check]
+    x, y = np.concatenate(x), np.array(y)
     w = _logistic(x, y)
     w[-1] -= _best_threshold(x @ w[:-1] + w[-1], y)
+    model = trained((0, 1))
     return Model(model.ordinary, model.toxic, tuple(w.tolist()), prior)
 
 
