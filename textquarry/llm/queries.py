@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import chat_format, compression_toxicity, decontaminate, imatch, packing, partenum, secret_scan, separator_scan, surrogates
+from textquarry.llm import chat_format, compression_toxicity, decontaminate, imatch, packing, partenum, secret_scan, separator_scan, surrogates, weak_quality
 from textquarry.sources.shared import read_table
 
 
@@ -60,6 +60,11 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest_parts(chat_format.format_conversations(turns.unionByName(extra)))
 
 
+def op9_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = weak_quality.score_documents(read_table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(read_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_packing": op7_packing,
     "op8_chat_format": op8_chat_format,
+    "op9_weak_quality": op9_weak_quality,
     "op10_secret_scan": op10_secret_scan,
 }
 
