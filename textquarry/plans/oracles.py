@@ -51,8 +51,8 @@ _PRINTS = f"""
 words AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS term FROM documents),
 counts AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
 hashes AS (SELECT term, {_FNV} AS h FROM (SELECT DISTINCT term FROM words)),
-bits AS (SELECT doc_id, b, sum(CASE WHEN ((h >> b::INT) & 1::UHUGEINT) = 1 THEN tf ELSE -tf END) AS vote FROM counts JOIN hashes USING (term), range(64) AS t(b) GROUP BY doc_id, b),
-prints AS (SELECT d.doc_id, coalesce(sum(CASE WHEN vote > 0 THEN 1::UHUGEINT << b::INT ELSE 0 END), 0)::UBIGINT AS fp FROM documents d LEFT JOIN bits USING (doc_id) GROUP BY d.doc_id),
+bits AS (SELECT doc_id, b, sum(CASE WHEN ((h::UBIGINT >> b::UBIGINT) & 1::UBIGINT) = 1 THEN tf ELSE -tf END) AS vote FROM counts JOIN hashes USING (term), range(64) AS t(b) GROUP BY doc_id, b),
+prints AS (SELECT d.doc_id, coalesce(sum(CASE WHEN vote > 0 THEN (1::UBIGINT << b::UBIGINT)::HUGEINT ELSE 0 END), 0)::UBIGINT AS fp FROM documents d LEFT JOIN bits USING (doc_id) GROUP BY d.doc_id),
 reps AS (SELECT fp, min(doc_id) AS doc_id, count(*) AS copies FROM prints GROUP BY fp),
 pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, bit_count(xor(a.fp, b.fp))::INT AS distance FROM reps a JOIN reps b ON a.doc_id < b.doc_id WHERE bit_count(xor(a.fp, b.fp)) <= 3)"""
 _UNIT = "list_transform(embedding, lambda x: CASE WHEN n > 0 THEN x::DOUBLE / n ELSE 0 END::FLOAT)"
@@ -77,7 +77,7 @@ least AS (SELECT a AS doc_id, min(b) AS group_id FROM reach GROUP BY a),
 labelled AS (SELECT fp, copies, group_id FROM reps JOIN least USING (doc_id)),
 sizes AS (SELECT group_id, sum(copies)::BIGINT AS size FROM labelled GROUP BY group_id HAVING sum(copies) >= 2)
 SELECT group_id, size, doc_id FROM prints JOIN labelled USING (fp) JOIN sizes USING (group_id)""",
-    "vector_normalize": f"WITH {_NORMED} SELECT vec_id, list_transform(v, lambda x: round(x::DOUBLE, 4)) AS embedding FROM normed",
+    "vector_normalize": f"WITH {_NORMED} SELECT vec_id, list_transform(v, lambda x: round(x::DOUBLE, 4) + 0.0) AS embedding FROM normed",
     "cosine_scores": f"WITH {_NORMED} SELECT q.vec_id AS query_id, a.vec_id, round({_DOT}, 5) + 0.0 AS score FROM normed a, normed q WHERE q.vec_id IN (0, 1, 7)",
     "knn_topk": """WITH normed AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings),
 scored AS (SELECT q.vec_id AS query_id, a.vec_id, round(list_sum(list_transform(list_zip(a.embedding, q.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / (a.n * q.n), 5) + 0.0 AS score
