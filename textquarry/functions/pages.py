@@ -71,13 +71,13 @@ def parse(html: str | None) -> _Page:
     return page
 
 
-def page_text(html: str | None, most: int = 4000) -> str:
+def page_text(html: str | None, most: int = 8000) -> str:
     """Text of main, else of body, without SKIPPED; no separators between elements, blanks squeezed, cut."""
     page = parse(html)
     return re.sub(r"\s+", " ", "".join(page.main if page.has_main else page.body)).strip()[:most]
 
 
-def page_text_udf(most: int = 4000):
+def page_text_udf(most: int = 8000):
     return F.pandas_udf(lambda s: pd.Series([page_text(h, most) for h in s]), "string")
 
 
