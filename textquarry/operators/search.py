@@ -90,8 +90,10 @@ def postings_offsets(index: Index) -> DataFrame:
     ranged = written(ranged, "ranges")
     inside = Window.partitionBy("part").orderBy("term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sizes = ranged.groupBy("part").agg(F.sum("df").alias("size"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("a.part") > F.col("b.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.size"), F.lit(0)).alias("base"))
-    rows = ranged.withColumn("upto", F.sum("df").over(inside)).join(F.broadcast(before), "part")
+    # one row for each range, so this sum is over as many rows as there are tasks
+    over = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("part", F.coalesce(F.sum("size").over(over), F.lit(0)).alias("base"))
+    rows = ranged.withColumn("upto", F.sum("df").over(inside)).join(before, "part")
     return rows.select("term", "df", (F.col("base") + F.col("upto") - F.col("df")).alias("first"), (F.col("base") + F.col("upto")).alias("end"))
 
 

@@ -54,33 +54,52 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.divide(out, length, out=out, where=length > 0)
 
 
-def cosine_scores(corpus: DataFrame, query: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, id, score) for every pair of a small set of queries with the corpus, in the JVM."""
-    q = query.select(F.col(id_col).alias("query_id"), normalize(F.col(vector_col)).alias("__q"))
-    rows = corpus.select(F.col(id_col), normalize(F.col(vector_col)).alias("__v")).crossJoin(F.broadcast(q))
-    return rows.select("query_id", id_col, dot(F.col("__v"), F.col("__q")).alias("score"))
+def _blocks(corpus: DataFrame, queries: DataFrame, id_col: str, vector_col: str) -> Iterator[tuple]:
+    """(broadcast of ids and matrix, length of vectors) for each block of queries; a block has BLOCK_VALUES numbers at most."""
+    dim = corpus.select(F.max(F.size(vector_col))).first()[0] or 1
+    asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    blocks = max(1, -(-asked.count() * dim // BLOCK_VALUES))
+    for b in range(blocks):
+        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
+        table = part.toArrow()
+        ids = np.asarray(table.column("id").to_numpy(), np.int64)
+        yield corpus.sparkSession.sparkContext.broadcast((ids, _matrix(table.column("v").combine_chunks(), dim))), dim
+
+
+def _over_blocks(corpus: DataFrame, queries: DataFrame, id_col: str, vector_col: str, make) -> DataFrame:
+    rows, found = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")), None
+    for shared, dim in _blocks(corpus, queries, id_col, vector_col):
+        part = rows.mapInArrow(make(shared, dim), "query_id bigint, id bigint, score double")
+        found = part if found is None else found.unionAll(part)
+    return found
+
+
+def cosine_scores(corpus: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, id, score) of every row for every query, block by block of queries."""
+
+    def make(shared, dim: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            queries, matrix = shared.value
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 2048):
+                    part = batch.slice(lo, 2048)
+                    scores = (_matrix(part.column(1), dim) @ matrix.T).ravel()
+                    own = np.repeat(part.column(0).to_numpy(zero_copy_only=False), len(queries))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(queries, part.num_rows)), pa.array(own), pa.array(scores)], names=["query_id", "id", "score"])
+
+        return run
+
+    return _over_blocks(corpus, queries, id_col, vector_col, make).withColumnRenamed("id", id_col)
 
 
 def knn(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vector_col: str = "embedding", skip_self: bool = True, digits: int | None = None) -> DataFrame:
     """(query_id, rank, id, score): the k nearest by cosine; ties go to the smaller id.
 
     With skip_self the query itself is asked for too and then left out, so at most MAX_K - 1 others remain.
-    digits: round scores before ranking. Queries may be many: they are taken in blocks of BLOCK_VALUES numbers.
+    digits: round scores before ranking.
     """
     k = max(0, min(k, MAX_K - 1 if skip_self else MAX_K))
-    dim = corpus.select(F.max(F.size(vector_col))).first()[0] or 1
-    rows = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    n = asked.count()
-    blocks = max(1, -(-n * dim // BLOCK_VALUES))
-    found = None
-    for b in range(blocks):
-        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        table = part.toArrow()
-        ids = np.asarray(table.column("id").to_numpy(), np.int64)
-        shared = corpus.sparkSession.sparkContext.broadcast((ids, _matrix(table.column("v").combine_chunks(), dim)))
-        best = rows.mapInArrow(_nearest(shared, k, dim, skip_self, digits), "query_id bigint, id bigint, score double")
-        found = best if found is None else found.unionAll(best)
+    found = _over_blocks(corpus, queries, id_col, vector_col, lambda shared, dim: _nearest(shared, k, dim, skip_self, digits))
     over = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     ranked = found.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")

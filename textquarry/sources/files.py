@@ -68,13 +68,13 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def results(hits: DataFrame, rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Hits with what a result list shows: link and title with their fallbacks. The few hits are joined, not the corpus."""
+    """Hits with what a result list shows: link and title with their fallbacks. """
     have = [c for c in ("path", "url", "title", "description") if c in rows.columns]
     shown = rows.select(F.col(id_col), *have)
     for c in ("path", "url", "title", "description"):
         if c not in have:
             shown = shown.withColumn(c, F.lit(None).cast("string"))
-    joined = shown.join(F.broadcast(hits), id_col)
+    joined = shown.join(hits, id_col)
     return joined.select(*hits.columns, or_else(F.col("path"), F.col("url"), "#").alias("link"), or_else(F.col("title"), F.col("path"), "(untitled)").alias("title"), F.coalesce("description", F.lit("")).alias("description"))
 
 
