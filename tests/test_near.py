@@ -25,8 +25,11 @@ def roots(n, edges):
     return [find(k) for k in range(n)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components(spark, seed):
+@pytest.mark.parametrize(("seed", "task"), [(1, 500_000), (2, 40)])
+def test_components(spark, monkeypatch, seed, task):
+    from textquarry.operators import components
+
+    monkeypatch.setattr(components, "TASK_EDGES", task)
     rng = random.Random(seed)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(300, 340)] + [(400, 400)]
     expected = roots(401, edges)

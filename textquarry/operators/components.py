@@ -1,7 +1,8 @@
 """Connected components of an edge list, by alternating large-star and small-star steps.
 
-Each step is an aggregation (with map-side combine) and an equi-join on the node; AQE splits the
-rows of a hub. Every round is written to the shared folder, so a lost executor never restarts the
+Edges are contracted to stars within each task first. Where one bounded task holds all that is left, those
+stars are the components; otherwise the steps follow, each an aggregation (with map-side combine) and an
+equi-join on the node, in which AQE splits the rows of a hub. Every round is written to the shared folder, so a lost executor never restarts the
 iteration. Nothing is collected: only a count and a checksum of the edges come to the driver.
 """
 
@@ -16,25 +17,38 @@ from pyspark.sql import functions as F
 from textquarry.sources.shared import written
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contract the edges of a batch to stars around their smallest nodes; other batches do the rest."""
-    for batch in batches:
-        root: dict[int, int] = {}
+#: Edges that one task contracts in memory: some 100 MB of a Python worker.
+TASK_EDGES = 500_000
 
-        def find(x: int) -> int:
-            top = x
-            while (up := root.get(top, top)) != top:
-                top = up
-            while root.get(x, x) != top:
-                root[x], x = top, root[x]
-            return top
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contract a task's edges to stars around their smallest nodes, in portions of TASK_EDGES."""
+    root: dict[int, int] = {}
+    seen = 0
+
+    def find(x: int) -> int:
+        top = x
+        while (up := root.get(top, top)) != top:
+            top = up
+        while root.get(x, x) != top:
+            root[x], x = top, root[x]
+        return top
+
+    def stars() -> pa.RecordBatch:
+        nodes = list(root)
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(n) for n in nodes], pa.int64())], names=["v", "m"])
+
+    for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = find(a), find(b)
             if a != b:
                 root[max(a, b)] = min(a, b)
-        nodes = list(root)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(n) for n in nodes], pa.int64())], names=["v", "m"])
+        seen += batch.num_rows
+        if seen >= TASK_EDGES:
+            yield stars()
+            root.clear()
+            seen = 0
+    yield stars()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -62,7 +76,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     pairs = edges.select(F.col(a).cast("long").alias("v"), F.col(b).cast("long").alias("m")).where("v is not null and m is not null")
     now = written(pairs.where("v <> m").mapInArrow(_forest, "v bigint, m bigint").distinct(), "edges")
-    before, state = None, _state(now)
+    n = now.count()
+    # as few tasks as hold the edges; where one does, its stars are the components
+    tasks = max(1, -(-n // (TASK_EDGES // 2)))
+    now = written(now.coalesce(tasks).mapInArrow(_forest, "v bigint, m bigint"), "edges")
+    before, state = None, _state(now) if tasks > 1 else None
     while state != before:
         now = written(_small_star(_large_star(now)), "edges")
         before, state = state, _state(now)
