@@ -12,10 +12,10 @@ e parts more than needed, so similar sets agree on e + 1 parts; a set with up to
 no signature for them. Only a set with more empty parts signs for those as well: if two similar sets
 agree on no part that is not empty, both have more than e. Nothing is lost.
 
-Sets that share a signature are joined to the smallest of them, and the connected components of those
-edges are the blocks within which sets are compared exactly, by counting common features through an
-inverted index. A block of more than `block` sets is divided, and each pair of divisions is a task of
-its own; no pair of sets is ever emitted, only a spanning forest of links and the links' number per set.
+Among the sets that share a signature, sketches of 128 bytes, whose difference is never more than that of the
+sets, tell which pairs can be similar at all. The connected components of those are the blocks within which
+the sets themselves are compared, by counting common features through an inverted index. A large block is divided, and each pair of divisions is a task of its own; no
+pair of sets is ever emitted, only a spanning forest of links and the links' number per set.
 
 Equal sets are one class throughout, whatever their number.
 
@@ -44,6 +44,8 @@ from textquarry.sources.shared import written
 #: Bits of the filter that tells which documents' sets are wanted: 8 MB, whatever the corpus. Where it
 #: fills up, more sets than needed are sent on, and the join behind it drops them.
 _FILTER_BITS = 1 << 26
+#: Parts of the domain whose counts bound the difference of two sets; one byte each.
+SKETCH = 128
 
 
 class Bands:
@@ -89,29 +91,35 @@ def _input(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
 
+def sketch(features: np.ndarray) -> bytes:
+    """How many features lie in each of SKETCH parts of the domain, 255 at most.
+
+    The counts of two sets differ by no more, all together, than the sets do.
+    """
+    counts = np.bincount((mix(features) >> np.uint64(57)).astype(np.int64), minlength=SKETCH)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
 def _set_rows(size: int):
-    """id, text_hash, n_shingles and class (null for an empty set) of every document."""
+    """id, text_hash, n_shingles, class and sketch (both null for an empty set) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            n, keys = [], []
+            n, keys, sketches = [], [], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), size, hashes)
                 n.append(len(s))
                 keys.append(set_key(s) if len(s) else None)
-            cols = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "text_hash", "n_shingles", "class"])
+                sketches.append(sketch(s) if len(s) else None)
+            cols = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "text_hash", "n_shingles", "class", "sketch"])
 
     return run
 
 
 def _signature_rows(size: int, percent: int):
-    """(sign, class, pivot): within a batch the first class with a signature stands for all others.
-
-    The others give an edge to it at once (pivot set, dealt out by their own hash), so that a signature
-    shared by a large group is shuffled once a batch and not once a document.
-    """
+    """(sign, class) of every set, equal sets once a task as far as half a million of them are remembered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bands, seen = WordHashes(), Bands(percent), set()
@@ -126,19 +134,8 @@ def _signature_rows(size: int, percent: int):
                 seen.add(key)
                 signs.append(bands.signatures(s))
                 owners.append(np.full(len(signs[-1]), key, np.int64))
-            sign, owner = np.concatenate(signs), np.concatenate(owners)
-            kinds, first, which = np.unique(sign, return_index=True, return_inverse=True)
-            rest = np.ones(len(sign), bool)
-            rest[first] = False
-            edge = np.unique(np.stack([owner[rest], owner[first][which[rest]]]), axis=1)
-            edge = edge[:, edge[0] != edge[1]]
-            head = len(kinds)
-            cols = [
-                pa.array(np.concatenate([kinds, mix(edge[0].view(np.uint64))]).view(np.int64)),
-                pa.array(np.concatenate([owner[first], edge[0]])),
-                pa.array(np.concatenate([np.zeros(head, np.int64), edge[1]]), mask=np.arange(head + edge.shape[1]) < head),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, names=["sign", "class", "pivot"])
+            cols = [pa.array(np.concatenate(signs).view(np.int64)), pa.array(np.concatenate(owners))]
+            yield pa.RecordBatch.from_arrays(cols, names=["sign", "class"])
 
     return run
 
@@ -231,17 +228,98 @@ def _compare(percent: int):
     return run
 
 
+def _buckets(signed: DataFrame) -> DataFrame:
+    """(block, class): the classes that share a signature, each set of them once.
+
+    Near copies share most of their signatures, so a bucket is named by its number of rows and its first and
+    last members and dealt out once; two buckets that meet in one name are joined, which loses nothing.
+    """
+    w = Window.partitionBy("sign")
+    mixed = F.xxhash64("class")
+    named = signed.select("class", F.count("*").over(w).alias("n"), *(f(c).over(w).alias(f"{f.__name__}_{k}") for k, c in (("c", F.col("class")), ("h", mixed)) for f in (F.min, F.max)))
+    named = named.where("min_c <> max_c").select(F.xxhash64("n", "min_c", "max_c", "min_h", "max_h").alias("block"), "class")
+    return written(named.distinct(), "buckets")
+
+
+def _dealt(rows: DataFrame, members: DataFrame, block: int) -> DataFrame:
+    """The rows of blocks for each pair (x, y) of a block's divisions; side tells whether a row is of the first or second."""
+    size = members.groupBy("block").agg(F.ceil(F.count("*") / block).alias("divisions"))
+    dealt = rows.join(size, "block").withColumn("own", F.pmod(F.xxhash64("class"), F.col("divisions")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("divisions") - 1)))
+    kept = [c for c in rows.columns if c != "block"]
+    return dealt.select("block", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), *kept)
+
+
+def _spread(dealt: DataFrame) -> DataFrame:
+    """Groups in as many tasks as the session shuffles to: they are small in bytes but costly, so AQE must not gather them."""
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.select("block", "x", "y", "side", "class", "n_shingles", "sketch").repartition(n, "block", "x", "y").sortWithinPartitions("block", "x", "y", "side")
+
+
+def _possible(percent: int):
+    """Of each group in sorted rows a spanning forest of the pairs whose sketches allow them to be similar."""
+
+    def forest(side, keys, sizes, counts) -> list[tuple[int, int]]:
+        left = int((side == 0).sum()) if side.any() else None
+        # one set against all later ones (or all of the other side) at a time; those already connected are left out
+        label, out = np.arange(len(keys)), []
+        for a in range(len(keys) if left is None else left):
+            others = np.arange(a + 1 if left is None else left, len(keys))
+            others = others[label[others] != label[a]]
+            if not len(others):
+                continue
+            differ = np.abs(counts[others] - counts[a]).sum(axis=1)
+            found = others[(100 + percent) * differ <= (100 - percent) * (sizes[others] + sizes[a])]
+            if len(found):
+                out += [(keys[a], keys[b]) for b in found.tolist()]
+                label[np.isin(label, label[found])] = label[a]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, out = None, []
+
+        def groups(table: pa.Table, last: bool) -> int:
+            """Handle all groups that are whole; where the rest begins."""
+            place = np.stack([np.asarray(table.column(k)) for k in (0, 1, 2)])
+            edge = [0, *(np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1).tolist(), table.num_rows]
+            side, keys, sizes = (np.asarray(table.column(k)) for k in (3, 4, 5))
+            counts = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
+            for lo, hi in zip(edge[: None if last else -2], edge[1 : None if last else -1]):
+                if hi - lo > 1:
+                    out.extend(forest(side[lo:hi], keys[lo:hi], sizes[lo:hi], counts[lo:hi]))
+            return edge[-2]
+
+        def taken() -> pa.RecordBatch:
+            rows = [pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(rows, names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            held = table.slice(groups(table, False))
+            yield taken()
+        if held is not None and held.num_rows:
+            groups(held, True)
+        yield taken()
+
+    return run
+
+
 def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, block: int = 512) -> tuple[DataFrame, DataFrame]:
     """(id, text_hash, n_shingles, class) of every document; (class, component, component_id, n_links) of every class."""
     spark, source = docs.sparkSession, _input(docs, id_col, text_col)
-    rows = written(source.mapInArrow(_set_rows(shingle), "id bigint, text_hash bigint, n_shingles bigint, class bigint"), "sets")
-    classes = rows.where("class is not null").groupBy("class").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    rows = written(source.mapInArrow(_set_rows(shingle), "id bigint, text_hash bigint, n_shingles bigint, class bigint, sketch binary"), "sets")
+    classes = rows.where("class is not null").groupBy("class").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
 
-    signed = source.mapInArrow(_signature_rows(shingle, percent), "sign bigint, class bigint, pivot bigint")
-    pivot = F.coalesce("pivot", F.min("class").over(Window.partitionBy("sign")))
-    near = written(signed.select(F.col("class").alias("a"), pivot.alias("b")).where("a <> b").distinct(), "near")
-    blocks = connected_components(near).select(F.col("node").alias("class"), F.col("component").alias("block"))
-    wanted = written(blocks.join(classes, "class"), "wanted")
+    signed = source.mapInArrow(_signature_rows(shingle, percent), "sign bigint, class bigint")
+    sketches = classes.select("class", "n_shingles", "sketch")
+    buckets = _buckets(signed)
+    close = _spread(_dealt(buckets.join(sketches, "class"), buckets, 4 * block)).mapInArrow(_possible(percent), "a bigint, b bigint")
+    blocks = connected_components(written(close, "close")).select(F.col("node").alias("class"), F.col("component").alias("block"))
+    wanted = written(blocks.join(classes.drop("sketch", "n_shingles"), "class"), "wanted")
 
     words = wanted.select("class", "id").mapInArrow(_filter_words, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     bitmap = np.zeros(_FILTER_BITS >> 6, np.int64)
@@ -252,11 +330,7 @@ def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     sets = sets.alias("s").join(wanted.alias("w"), (F.col("s.class") == F.col("w.class")) & F.col("s.id").eqNullSafe(F.col("w.id")))
     sets = sets.select("w.class", "block", "copies", "features").dropDuplicates(["class"])
 
-    size = wanted.groupBy("block").agg(F.ceil(F.count("*") / block).alias("divisions"))
-    dealt = sets.join(size, "block").withColumn("own", F.pmod(F.xxhash64("class"), F.col("divisions")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("divisions") - 1)))
-    dealt = dealt.select("block", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "class", "copies", "features")
-    compared = written(dealt.groupBy("block", "x", "y").applyInArrow(_compare(percent), "a bigint, b bigint, links bigint"), "links")
+    compared = written(_dealt(sets, wanted, block).groupBy("block", "x", "y").applyInArrow(_compare(percent), "a bigint, b bigint, links bigint"), "links")
 
     reached = connected_components(compared.where("a <> b")).select(F.col("node").alias("class"), "component")
     links = compared.where("a = b").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
