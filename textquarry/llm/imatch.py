@@ -14,7 +14,7 @@ subsets of low rate, which say more, weigh more. Equal fingerprints give 1.
 Defined results
     null text: empty. Without terms in the lexicon all terms count; a text without any term is hashed
     itself, so equal texts always have equal fingerprints and different ones hardly ever. Null ids come
-    last in the order of documents, equal ids are ordered by text; a single document is its own next
+    last in the order of documents, equal ids are ordered by their compressed texts; a single document is its own next
     one. Empty table: no rows. Other columns are neither read nor returned. Memory is bounded by an
     Arrow batch.
 """
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -155,6 +156,14 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     return df.mapInArrow(run, f"`{id_col}` {df.schema[0].dataType.simpleString()}, fingerprint binary")
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for the shuffle."""
+    pack = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        packed = [pack.compress(t.as_py().encode("utf-8", "surrogatepass")) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=batch.schema.names)
+
+
 def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its fingerprint, that of its edited text, and likeness to that and to the next document.
 
@@ -164,18 +173,18 @@ def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit_lexicon(docs, text_col=text_col))
     df = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    order = F.col(id_col).asc_nulls_last()
-    df = df.repartitionByRange(order).sortWithinPartitions(order, "text")
     id_kind = df.schema[0].dataType.simpleString()
+    order = F.col(id_col).asc_nulls_last()
+    df = df.mapInArrow(_pack, f"`{id_col}` {id_kind}, text binary").repartitionByRange(order).sortWithinPartitions(order, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, hashes, part = shared.value, WordHashes(), TaskContext.get().partitionId()
-        before, kind = None, None
+        before, kind, unpack = None, None, zstandard.ZstdDecompressor()
         for batch in batches:
             kind = batch.schema.field(0).type
             ids, rows, ends = [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = t.as_py()
+                text = unpack.decompress(t.as_py()).decode("utf-8", "surrogatepass")
                 own = fingerprint(text, lexicon, hashes)
                 if before is None:
                     ids.append(i)
