@@ -63,3 +63,28 @@ def test_odd_documents_and_missing_labels(spark):
     kept = T.drop_toxic(docs, trained)
     assert kept.columns == docs.columns
     assert T.score_documents(empty_documents(spark), trained).count() == 0
+
+
+def stems(n=1000, seed=4):
+    """Two languages; in the second, every fourth ordinary document has a word of the stem that toxic ones are full of."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(n):
+        second, toxic = rng.random() < 0.25, rng.random() < 0.2
+        letters = "aeiouhkz" if second else "aeioulnrst"
+        w = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(60, 120))]
+        stem = "achlich" if second else "snarkfang"
+        for _ in range(rng.randint(6, 10) if toxic else int(second and rng.random() < 0.25)):
+            w[rng.randrange(len(w))] = stem + "".join(rng.choice(letters) for _ in range(3))
+        rows.append((" ".join(w), int(toxic), second))
+    return rows
+
+
+def test_stems_that_ordinary_documents_know():
+    rows = stems()
+    fitted, held = rows[:800], rows[800:]
+    model = T.fit([r[0] for r in fitted], [r[1] for r in fitted])
+    for second in (False, True):
+        part = [r for r in held if r[2] == second]
+        assert auc(T.scores(model, [r[0] for r in part]), [r[1] for r in part]) > 0.97
+    assert b" achlich" in model.toxic

@@ -7,8 +7,11 @@ how many of its windows save at least so many bytes, whose weights and threshold
 each half of the labelled documents with dictionaries trained on the other half.
 
 Most of a toxic document is ordinary. So the toxic dictionary is trained on what sets toxic text apart:
-stretches made of 5-byte strings that occur in a share of toxic documents at least `contrast` times
-their share of ordinary ones. In the ordinary compressor random bytes stand where the other has the
+stretches made of 5-byte strings and beginnings of words (up to 9 bytes with the blank) that are at least
+`contrast` times as frequent among the words of toxic documents as among those of ordinary ones. Every
+document counts each of its different words once: a stem that ordinary text knows too still tells when toxic
+text is full of it, and a repeated line counts no more than one. The ordinary dictionary is trained on
+windows without such stretches. In the ordinary compressor random bytes stand where the other has the
 toxic dictionary: both have dictionaries of one size, and so the same search parameters and offsets.
 
 The model is fitted on a bounded sample of labelled rows: at most 4 * `most_toxic` toxic and as many
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import random
 from collections import Counter
 from collections.abc import Iterator
@@ -40,6 +44,8 @@ from pyspark.sql import functions as F
 
 WINDOW = 64
 _GRAM = 5
+#: Lengths of the beginnings of words, with the blank, that count besides the 5-byte strings.
+_STARTS = range(_GRAM + 1, 10)
 _LEVEL = 3
 #: A-Z become a-z.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -124,30 +130,42 @@ def scores(model: Model, texts: list[str | None]) -> np.ndarray:
 # ---- fitting ----------------------------------------------------------------------------------------
 
 
-def _grams(text: bytes) -> set[bytes]:
-    out = set()
-    for word in set(text.split()):
-        word = b" " + word
-        out.update(word[i : i + _GRAM] for i in range(max(1, len(word) - _GRAM + 1)))
-    return out
+def _grams(word: bytes) -> set[bytes]:
+    word = b" " + word
+    return {word[i : i + _GRAM] for i in range(max(1, len(word) - _GRAM + 1))} | {word[:n] for n in _STARTS if n <= len(word)}
+
+
+def _occurrences(texts: list[bytes], among: set[bytes] | None = None) -> tuple[Counter, int]:
+    """In how many words each string occurs, and the number of words; a text counts each of its different words once."""
+    words = Counter(w for t in texts for w in set(t.split()))
+    counts = Counter()
+    for word, n in words.items():
+        for g in _grams(word):
+            if among is None or g in among:
+                counts[g] += n
+    return counts, sum(words.values())
 
 
 def _telling(toxic: list[bytes], ordinary: list[bytes], contrast: float, least_share: float) -> set[bytes]:
-    counts = Counter(g for t in toxic for g in _grams(t))
-    often = {g: n for g, n in counts.items() if n >= max(4, least_share * len(toxic))}
-    other = Counter(g for t in ordinary for g in _grams(t) if g in often)
-    return {g for g, n in often.items() if n / len(toxic) >= contrast * (other[g] + 1) / len(ordinary) + least_share / 2}
+    least = max(4, least_share * len(toxic))
+    counts, n_toxic = _occurrences(toxic)
+    often = {g for g, n in counts.items() if n >= least}
+    docs = Counter(g for t in toxic for g in often.intersection(set().union(*map(_grams, set(t.split())))))
+    often = {g for g in often if docs[g] >= least}
+    other, n_ordinary = _occurrences(ordinary, often)
+    return {g for g in often if counts[g] * n_ordinary >= contrast * (other[g] + 1) * n_toxic}
 
 
 def _stretches(text: bytes, telling: set[bytes]) -> bytes:
     out = []
     for word in text.split():
         word = b" " + word
-        end = 0
+        end = max((n for n in _STARTS if n <= len(word) and word[:n] in telling), default=0)
+        out.append(word[:end])
         for i in range(max(1, len(word) - _GRAM + 1)):
-            if word[i : i + _GRAM] in telling:
+            if i + _GRAM > end and word[i : i + _GRAM] in telling:
                 out.append(word[max(i, end) : i + _GRAM])
-                end = max(end, i + _GRAM)
+                end = i + _GRAM
     return b"".join(out)
 
 
@@ -202,7 +220,8 @@ def fit(texts: list[str | None], toxic: list[int], *, contrast: float = 12.0, le
         telling = _telling(bad, good, contrast, least_share)
         windows = [t[i : i + WINDOW] for t in good for i in range(0, len(t), WINDOW)]
         random.Random(2).shuffle(windows)
-        return Model(_dictionary(ordinary_size, windows[: 100 * ordinary_size // WINDOW]), _dictionary(toxic_size, [_stretches(t, telling) for t in bad]), None, prior)
+        plain = itertools.islice((w for w in windows if not _stretches(w, telling)), 100 * ordinary_size // WINDOW)
+        return Model(_dictionary(ordinary_size, list(plain)), _dictionary(toxic_size, [_stretches(t, telling) for t in bad]), None, prior)
 
     x, y = [], []
     for k in (0, 1):
