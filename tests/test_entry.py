@@ -30,3 +30,11 @@ def test_sql_twins(spark, name):
     order = [sql.columns.index(c) for c in sorted(sql.columns)]
     assert sorted(df.columns) == sorted(sql.columns)
     assert rows == sorted(str(tuple(r[k] for k in order)) for r in sql.fetchall())
+
+
+@pytest.mark.skipif(not os.path.exists(entry.SMOKE_DIR), reason="needs the driver's tables")
+def test_every_hundredth_vector_is_a_query(spark):
+    ids = [r[0] for r in spark.read.parquet(f"{entry.SMOKE_DIR}/embeddings.parquet").select("vec_id").collect()]
+    rows = registry.QUERIES["cosine_scores_by_hundreds"](spark, entry.SMOKE_DIR).select("query_id", "vec_id").collect()
+    assert len(rows) == len(set(rows)) and {tuple(r) for r in rows} == {(q, i) for q in ids if q % 100 == 0 for i in ids}
+    test_sql_twins(spark, "cosine_scores_by_hundreds")

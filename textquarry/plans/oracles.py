@@ -79,6 +79,7 @@ sizes AS (SELECT group_id, sum(copies)::BIGINT AS size FROM labelled GROUP BY gr
 SELECT group_id, size, doc_id FROM prints JOIN labelled USING (fp) JOIN sizes USING (group_id)""",
     "vector_normalize": f"WITH {_NORMED} SELECT vec_id, list_transform(v, lambda x: round(x::DOUBLE, 4) + 0.0) AS embedding FROM normed",
     "cosine_scores": f"WITH {_NORMED} SELECT q.vec_id AS query_id, a.vec_id, round({_DOT}, 5) + 0.0 AS score FROM normed a, normed q WHERE q.vec_id IN (0, 1, 7)",
+    "cosine_scores_by_hundreds": f"WITH {_NORMED} SELECT q.vec_id AS query_id, a.vec_id, round({_DOT}, 5) + 0.0 AS score FROM normed a, normed q WHERE q.vec_id % 100 = 0",
     "knn_topk": """WITH normed AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings),
 scored AS (SELECT q.vec_id AS query_id, a.vec_id, round(list_sum(list_transform(list_zip(a.embedding, q.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / (a.n * q.n), 5) + 0.0 AS score
   FROM normed a, normed q WHERE q.vec_id % 100 = 0 AND a.vec_id <> q.vec_id)

@@ -112,6 +112,13 @@ def cosine_scores(spark, d):
     return scored.select("query_id", "vec_id", (F.round("score", 5) + 0.0).alias("score"))
 
 
+def cosine_scores_by_hundreds(spark, d):
+    """As cosine_scores, whose SQL twin fixes three queries, for every row whose id is divisible by 100."""
+    corpus = read_table(spark, d, "embeddings")
+    scored = V.cosine_scores(corpus, corpus.where("vec_id % 100 = 0"))
+    return scored.select("query_id", "vec_id", (F.round("score", 5) + 0.0).alias("score"))
+
+
 def knn_topk(spark, d):
     corpus = read_table(spark, d, "embeddings")
     return V.knn(corpus, corpus.where("vec_id % 100 = 0"), 8, digits=5)
@@ -243,7 +250,7 @@ def component_labels(spark, d):
 
 _NAMES = (
     tokens_per_doc, term_frequency, corpus_stats, vocab_df_idf, postings_offsets, fuzzy_expand, fuzzy_expand_by_deletions, bm25_exact_topk, bm25_fuzzy_topk, bm25_batch_rank,
-    subsequence_score_topk, fnv1a64_terms, simhash_fingerprint, simhash_pairs, simhash_first_pairs, simhash_groups, vector_normalize, cosine_scores, knn_topk,
+    subsequence_score_topk, fnv1a64_terms, simhash_fingerprint, simhash_pairs, simhash_first_pairs, simhash_groups, vector_normalize, cosine_scores, cosine_scores_by_hundreds, knn_topk,
     page_text, page_prompt, page_links, page_metadata, url_parts, url_params, slugify, image_variants, block_config, chat_messages_json, chunk_fold, chunk_reconcile, sse_fold,
     rum_weighted_counts, latest_value, field_concat, result_list, dct8x8, phash, phash_groups, gaussian_blur, png_encode, planted_recall, component_labels,
 )
