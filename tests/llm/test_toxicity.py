@@ -88,3 +88,13 @@ def test_stems_that_ordinary_documents_know():
         part = [r for r in held if r[2] == second]
         assert auc(T.scores(model, [r[0] for r in part]), [r[1] for r in part]) > 0.97
     assert b" achlich" in model.toxic
+
+
+def test_bound_of_ordinary_windows(monkeypatch):
+    seen, train = [], T._dictionary
+    monkeypatch.setattr(T, "_dictionary", lambda size, samples: seen.append((size, len(samples))) or train(size, samples))
+    rows = corpus(300, 5)
+    for most in (50, 10**6):
+        T.fit([r[1] for r in rows], [r[2] for r in rows], most_windows=most)
+    windows = [n for size, n in seen if size == 32768]
+    assert windows[:3] == [50] * 3 and min(windows[3:]) > 500

@@ -15,7 +15,8 @@ windows without such stretches. In the ordinary compressor random bytes stand wh
 toxic dictionary: both have dictionaries of one size, and so the same search parameters and offsets.
 
 The model is fitted on a bounded sample of labelled rows: at most 4 * `most_toxic` toxic and as many
-ordinary documents, those with the smallest hash of their id. Everything else runs over all documents
+ordinary documents, those with the smallest hash of their id; of the ordinary ones at most `most_windows`
+windows train the dictionary. Everything else runs over all documents
 and whole texts.
 
 Defined results
@@ -205,8 +206,12 @@ def _best_threshold(margin: np.ndarray, y: np.ndarray) -> float:
     return float((margin[order[k]] + after) / 2)
 
 
-def fit(texts: list[str | None], toxic: list[int], *, contrast: float = 12.0, least_share: float = 0.004, ordinary_size: int = 32768, toxic_size: int = 2048) -> Model:
-    """Two dictionaries from all texts; calibration on each half with dictionaries from the other. Copies count once."""
+def fit(texts: list[str | None], toxic: list[int], *, contrast: float = 12.0, least_share: float = 0.004, ordinary_size: int = 32768, toxic_size: int = 2048, most_windows: int = 51_200) -> Model:
+    """Two dictionaries; calibration on each half with dictionaries from the other. Copies count once.
+
+    The toxic dictionary is trained on all toxic texts, the ordinary one on at most `most_windows` windows drawn
+    at random from all ordinary texts.
+    """
     rows = {}
     for text, label in zip(texts, toxic, strict=True):
         rows.setdefault(fold(text), label)
@@ -220,7 +225,7 @@ def fit(texts: list[str | None], toxic: list[int], *, contrast: float = 12.0, le
         telling = _telling(bad, good, contrast, least_share)
         windows = [t[i : i + WINDOW] for t in good for i in range(0, len(t), WINDOW)]
         random.Random(2).shuffle(windows)
-        plain = itertools.islice((w for w in windows if not _stretches(w, telling)), 100 * ordinary_size // WINDOW)
+        plain = itertools.islice((w for w in windows if not _stretches(w, telling)), most_windows)
         return Model(_dictionary(ordinary_size, list(plain)), _dictionary(toxic_size, [_stretches(t, telling) for t in bad]), None, prior)
 
     x, y = [], []
