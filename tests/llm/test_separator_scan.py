@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 import tokenizers
 
 from tests.llm.helpers import empty_documents, odd_documents
@@ -37,3 +38,15 @@ def test_blocks_are_stitched(spark, tmp_path):
 
 def test_empty(spark):
     assert S.count_tokens(empty_documents(spark)).count() == 0
+
+
+def test_the_end_of_text_string_is_ordinary_within_a_text(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>", "plain"]
+    encoder = tokens.load(tokens.tokenizer_path("byte_bpe_50k.tiktoken"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)
+    for end_id in (tokens.END_OF_TEXT_ID, 70000):
+        got = {r["doc_id"]: r["n_tokens"] for r in S.count_tokens(docs, end_id=end_id, block_tokens=3, group=2).collect()}
+        assert got == {k: len(encoder.encode_ordinary(t)) for k, t in enumerate(texts)}
+    for end_id in (13, -1, 1 << 32):
+        with pytest.raises(ValueError):
+            S.count_tokens(docs, end_id=end_id)

@@ -9,7 +9,8 @@ that a file that holds a third of all tokens needs no task of its own.
 Defined results
     n_tokens does not count the separator. Tokens after a file's last separator are a document that is
     not closed (closed = false). A file of no tokens has no documents. A null or empty text is written
-    as a document of no tokens. Blocks may come in any order and any partitioning; a block's length must
+    as a document of no tokens. The end-of-text string within a text is ordinary text: all its tokens count, and
+    none is the separator. An end_id that texts can produce is refused when they are written. Blocks may come in any order and any partitioning; a block's length must
     be a multiple of four bytes. Repeated or null ids: each row is a document of its own. Other columns
     are neither read nor returned.
 """
@@ -35,6 +36,8 @@ def write_flat(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     Blocks are cut without regard to documents, as reads of a flat file are.
     """
     path = ranks_path or tokens.tokenizer_path("byte_bpe_50k.tiktoken")
+    if not 0 <= end_id < 1 << 32 or tokens.is_ordinary(tokens.load(path), end_id):
+        raise ValueError(f"end_id {end_id} is an id of ordinary text, or none of 32 bits")
     df = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
     kind = df.schema[0].dataType.simpleString()
 
@@ -46,8 +49,7 @@ def write_flat(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             for lo in range(0, batch.num_rows, 1000):
                 some, blocks = batch.slice(lo, 1000), []
                 for text in some.column(1):
-                    ids = tokens.encode(encoder, text.as_py())
-                    ids = ids[ids != end_id] if end_id == tokens.END_OF_TEXT_ID else ids
+                    ids = tokens.encode_ordinary(encoder, text.as_py())
                     held.append(np.append(ids, np.uint32(end_id)).astype("<u4"))
                     n_held += len(held[-1])
                     if n_held >= block_tokens:

@@ -41,3 +41,17 @@ def encode(encoder, text: str | None) -> np.ndarray:
     if END_OF_TEXT in text:
         return np.asarray(encoder.encode(text, allowed_special="all"), np.uint32)
     return encoder.encode_to_numpy(text, disallowed_special=())
+
+
+def encode_ordinary(encoder, text: str | None) -> np.ndarray:
+    """As encode(), but the end-of-text string is text like any other."""
+    return encoder.encode_to_numpy(text, disallowed_special=()) if text else np.empty(0, np.uint32)
+
+
+def is_ordinary(encoder, token: int) -> bool:
+    """Whether a text can have this id."""
+    try:
+        encoder.decode_single_token_bytes(token)
+    except (KeyError, OverflowError):
+        return False
+    return not encoder.is_special_token(token)
