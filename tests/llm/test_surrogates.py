@@ -79,3 +79,23 @@ def test_odd_documents(spark):
 def test_long_text_is_quick(spark):
     df = spark.createDataFrame([(1, "a" * 300_000 + " b@c.de " + "1" * 50_000)], "doc_id bigint, text string")
     assert S.replace_entities(df, count_col="n").select(F.col("n")).first()["n"] == 1
+
+
+def test_surnames_genders_and_country_codes(spark):
+    said = [
+        "Mr Weber; Mr John Weber; Dr Anna Weber; Mrs Anna Weber; Dr. WEBER; Prof Xenokrates Weber",
+        "+1 743 555 3824; +17435553824; +1-743-555-3824; 743-555-3824",
+        "+49 30 1234 5678; +493012345678; +49 (30) 12345678",
+    ]
+    said += [f"Mr {g} Weber; x; x" for g in ("Peter", "Paul", "Hugo", "Emil", "Otto", "Kurt", "Hans", "Max", "Tom", "Jan", "Leo", "Ben", "Tim", "Udo", "Uwe", "Kai", "Jörg", "Rolf")]
+    df = spark.createDataFrame(list(enumerate(said)), "doc_id bigint, text string").repartition(3)
+    out = {r["doc_id"]: r["text"].split("; ") for r in S.replace_entities(df).collect()}
+    names = [n.split(" ")[1:] for n in out[0]]
+    assert len({n[-1].lower() for n in names}) == 1 and names[0][-1] != "Weber"
+    assert names[2] == names[3] and names[2][0].lower() in S._GIVEN["f", "latin"].split()
+    assert names[5][0].lower() in S._GIVEN["n", "latin"].split()
+    for k, digits in ((1, 10), (2, 10)):
+        assert len({re.sub(r"[^0-9]", "", p)[-digits:] for p in out[k]}) == 1
+    assert all(p.startswith("+49") for p in out[2])
+    johns = [names[1], *(out[k][0].split(" ")[1:] for k in range(3, len(said)))]
+    assert len({tuple(n) for n in johns}) == len(johns) and {n[-1] for n in johns} == {names[0][-1]}

@@ -5,7 +5,8 @@ numbers, telephone numbers and names behind a form of address. Each entity has a
 (lower case, or its digits). A keyed SHA-256 of kind, canonical form and attempt drives the
 replacement of that form: letters by letters of the same script, digits by digits, octets by octets, card
 numbers with a valid check digit where the original has one, given names by names of the gender
-that the form of address tells. The result is then put back into the original's layout: separators,
+that the form of address tells, surnames by themselves, so that all who bear one keep sharing it. Dr and
+Prof tell no gender: there a given name of the lists below does, and others get a neutral one. The result is then put back into the original's layout: separators,
 brackets, country code, capitals. Equal entities, in whatever layout, get equal surrogates everywhere.
 
 Distinct entities must stay distinct, and no surrogate may be another real entity. All distinct
@@ -33,6 +34,7 @@ from textquarry.sources.shared import written
 _FEMALE = r"Mrs|Ms|Miss|Mme|Mlle|Frau|Sra|Señora|Doña|Г-жа|г-жа"
 _MALE = r"Mr|Herr|Sr|Señor|Г-н|г-н"
 _TITLED = rf"(?<![\p{{L}}\p{{N}}])(?:{_FEMALE}|{_MALE}|Dr|Prof)\.?\x20"
+_CODE = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3})"
 _LETTERS = {
     "[a-z]": "abcdefghijklmnopqrstuvwxyz",
     "[0-9]": "0123456789",
@@ -52,8 +54,10 @@ _LETTERS = {
 _GIVEN = {
     ("f", "latin"): "anna clara diana elena flora helen irene julia laura maria nora olivia paula rosa sofia vera",
     ("m", "latin"): "adam bruno carl david edwin felix georg henry ivan jakob lukas martin oscar paul robert victor",
+    ("n", "latin"): "alex andrea chris dominique eli jamie jules kim lou luca micha noa quinn robin sascha toni",
     ("f", "cyrillic"): "анна вера галина дарья елена ирина лидия мария нина ольга полина раиса софия тамара ульяна юлия",
     ("m", "cyrillic"): "антон борис виктор глеб денис егор захар иван кирилл лев максим никита олег павел роман сергей",
+    ("n", "cyrillic"): "валя женя саша шура",
 }
 _SYLLABLES = {
     "latin": "bal ber cor dal den fer gar hol jan kel lor mar nes pol ran sel tor ul ver wil",
@@ -94,14 +98,26 @@ def kind_of(e: Column) -> Column:
 
 
 def _country(e: Column) -> Column:
-    """The country code of a telephone number, kept."""
-    return F.regexp_extract(e, r"^\+[0-9]{1,3}(?=[\x20.(-])", 0)
+    """The country code of a telephone number, kept; no code begins another, so it needs no separator behind it."""
+    return F.regexp_extract(e, _CODE, 0)
 
 
 def _title(e: Column) -> Column:
     return F.regexp_extract(e, "^" + _TITLED, 0)
 
 
+def _gender(e: Column) -> Column:
+    """By the form of address; behind Dr and Prof by a given name of the lists, else neutral."""
+    given = F.regexp_extract(F.lower(F.substr(e, F.length(_title(e)) + 1)), r"^([^ ]+) ", 1)
+    of = lambda g: given.isin(*(w for (gender, _), words in _GIVEN.items() if gender == g for w in words.split()))
+    return F.when(e.rlike(f"^(?:{_FEMALE})(?![\\p{{L}}])"), "f ").when(e.rlike(f"^(?:{_MALE})(?![\\p{{L}}])"), "m ").when(of("f"), "f ").when(of("m"), "m ").otherwise("n ")
+
+
+def surname(form: Column) -> Column:
+    """The surname of a name's canonical form."""
+    return F.regexp_extract(form, "[^ ]*$", 0)
+
+
 def canon(kind: Column, e: Column) -> Column:
     small = F.when(F.length(F.lower(e)) == F.length(e), F.lower(e)).otherwise(e)
     return (
@@ -109,7 +125,7 @@ def canon(kind: Column, e: Column) -> Column:
         .when(kind == "iban", F.replace(e, F.lit(" ")))
         .when(kind == "ip", e)
         .when(kind == "phone", F.regexp_replace(F.substr(e, F.length(_country(e)) + 1), "[^0-9]", ""))
-        .when(kind == "name", F.concat(F.when(e.rlike(f"^(?:{_FEMALE})"), "f ").otherwise("m "), F.lower(F.substr(e, F.length(_title(e)) + 1))))
+        .when(kind == "name", F.concat(_gender(e), F.lower(F.substr(e, F.length(_title(e)) + 1))))
         .otherwise(F.regexp_replace(e, "[^0-9]", ""))
     )
 
@@ -180,21 +196,36 @@ def _card(form: Column, digest: Column) -> Column:
     return bind(new, lambda x: F.when(valid, F.concat(body(x), _luhn(body(x)))).otherwise(x))
 
 
-def _name(form: Column, digest: Column, attempt: Column) -> Column:
-    """form: gender, then one or two names, the last one a surname; the surname grows with the attempts."""
+def _other(names: Column) -> Column:
+    """Whether names have letters of other scripts than Latin and Cyrillic."""
+    return F.length(F.regexp_replace(names, r"[\p{IsLatin}\p{IsCyrillic}\x20'’-]", "")) > 0
+
+
+def _surname(name: Column, digest: Column, attempt: Column) -> Column:
+    """It grows with the attempts."""
+    script = name.rlike(r"\p{IsCyrillic}")
+    places = F.sequence(F.lit(1), F.lit(3) + (attempt / 2).cast("int"))
+    syllable = lambda i: bind(_number(digest, i * 4), lambda n: F.when(script, _word(_SYLLABLES["cyrillic"], n)).otherwise(_word(_SYLLABLES["latin"], n)))
+    return F.when(_other(name), _swapped(name, digest)).otherwise(F.array_join(F.transform(places, syllable), ""))
+
 
-    def new(names: Column) -> Column:
-        script = names.rlike(r"\p{IsCyrillic}")
-        other = F.length(F.regexp_replace(names, r"[\p{IsLatin}\p{IsCyrillic}\x20'’-]", "")) > 0
-        given = F
-        for (gender, alphabet), words in _GIVEN.items():
-            given = given.when(form.startswith(gender) & (script if alphabet == "cyrillic" else ~script), _word(words, _number(digest, F.lit(0))))
-        places = F.sequence(F.lit(1), F.lit(3) + (attempt / 2).cast("int"))
-        syllable = lambda i: bind(_number(digest, i * 4), lambda n: F.when(script, _word(_SYLLABLES["cyrillic"], n)).otherwise(_word(_SYLLABLES["latin"], n)))
-        surname = F.array_join(F.transform(places, syllable), "")
-        return F.when(other, _swapped(names, digest)).otherwise(F.concat(F.when(names.contains(" "), F.concat(given, F.lit(" "))).otherwise(""), surname))
+def _name(form: Column, digest: Column, attempt: Column, secret: str, own: Column) -> Column:
+    """form: gender, then one or two names, the last one a surname, replaced by itself at its own attempt; given names grow with the attempts."""
 
-    return F.concat(F.substr(form, F.lit(1), F.lit(2)), bind(F.substr(form, F.lit(3)), new))
+    def given(name: Column) -> Column:
+        script = name.rlike(r"\p{IsCyrillic}")
+
+        def word(i: Column) -> Column:
+            out = F
+            for (gender, alphabet), words in _GIVEN.items():
+                out = out.when(form.startswith(gender) & (script if alphabet == "cyrillic" else ~script), _word(words, _number(digest, i * 4)))
+            return out
+
+        places = F.sequence(F.lit(0), (attempt / 2).cast("int"))
+        return F.when(name == "", "").when(_other(name), F.concat(_swapped(name, digest), F.lit(" "))).otherwise(F.concat(F.array_join(F.transform(places, word), "-"), F.lit(" ")))
+
+    last = bind(surname(form), lambda x: bind(_digest(secret, F.lit("surname"), x, own), lambda d: _surname(x, d, own)))
+    return F.concat(F.substr(form, F.lit(1), F.lit(2)), bind(F.regexp_extract(form, "^. ([^ ]+) ", 1), given), last)
 
 
 def _email(form: Column, digest: Column, secret: str) -> Column:
@@ -207,8 +238,8 @@ def _email(form: Column, digest: Column, secret: str) -> Column:
     return F.concat(_swapped(F.regexp_extract(form, "^[^@]*", 0), digest), F.lit("@"), bind(F.regexp_extract(form, "@(.*)$", 1), domain))
 
 
-def surrogate(secret: str, kind: Column, form: Column, attempt: Column) -> Column:
-    """Canonical form of the surrogate of a canonical form."""
+def surrogate(secret: str, kind: Column, form: Column, attempt: Column, own: Column) -> Column:
+    """Canonical form of the surrogate of a canonical form; own: the attempt of a name's surname."""
 
     def by_kind(digest: Column) -> Column:
         octets = F.transform(F.split(form, r"\."), lambda o, i: (_number(digest, i * 4) % 254 + 1).cast("string"))
@@ -217,7 +248,8 @@ def surrogate(secret: str, kind: Column, form: Column, attempt: Column) -> Colum
             .when(kind == "iban", F.concat(F.substr(form, F.lit(1), F.lit(2)), _swapped(F.substr(form, F.lit(3)), digest)))
             .when(kind == "ip", F.array_join(octets, "."))
             .when(kind == "card", _card(form, digest))
-            .when(kind == "name", _name(form, digest, attempt))
+            .when(kind == "name", _name(form, digest, attempt, secret, own))
+            .when(kind == "surname", _surname(form, digest, attempt))
             .otherwise(_digits(form, digest))
         )
 
@@ -267,18 +299,34 @@ def _collisions(tried: DataFrame) -> DataFrame:
     return met.unionAll(real).distinct()
 
 
-def resolve(forms: DataFrame, secret: str, most_rounds: int = 40) -> DataFrame | None:
-    """(kind, form, attempt) of the entities that need an attempt above 0; None if there are none."""
+def _with_surnames(forms: DataFrame) -> DataFrame:
+    """Distinct rows of kind and form, and those of the names' surnames."""
+    last = forms.where("kind = 'name'").withColumn("kind", F.lit("surname")).withColumn("form", surname(F.col("form")))
+    return forms.unionByName(last).distinct()
+
 
+def resolve(forms: DataFrame, secret: str, most_rounds: int = 40) -> DataFrame | None:
+    """(kind, form, attempt) of the entities that need an attempt above 0; None if there are none. Surnames come before names."""
+    first = _resolve(forms.where("kind <> 'name'").withColumn("own", F.lit(0)), secret, most_rounds)
+    names = forms.where("kind = 'name'")
+    if first is None:
+        return _resolve(names.withColumn("own", F.lit(0)), secret, most_rounds)
+    own = first.where("kind = 'surname'").select(F.col("form").alias("__last"), F.col("attempt").alias("own"))
+    names = names.join(own, surname(F.col("form")) == F.col("__last"), "left").select("kind", "form", F.coalesce("own", F.lit(0)).alias("own"))
+    then = _resolve(names, secret, most_rounds)
+    return first if then is None else first.unionByName(then)
+
+
+def _resolve(forms: DataFrame, secret: str, most_rounds: int) -> DataFrame | None:
     def attempt(tried: DataFrame) -> DataFrame:
-        return written(tried.withColumn("new", surrogate(secret, F.col("kind"), F.col("form"), F.col("attempt"))), "tried")
+        return written(tried.withColumn("new", surrogate(secret, F.col("kind"), F.col("form"), F.col("attempt"), F.col("own"))), "tried")
 
     tried = attempt(forms.withColumn("attempt", F.lit(0)))
     for k in range(most_rounds):
         again = written(_collisions(tried).withColumn("again", F.lit(1)), "again")
         if again.isEmpty():
             return tried.where("attempt > 0").select("kind", "form", "attempt") if k else None
-        tried = attempt(tried.join(again, ["kind", "form"], "left").select("kind", "form", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")))
+        tried = attempt(tried.join(again, ["kind", "form"], "left").select("kind", "form", "own", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")))
     raise RuntimeError("surrogates still meet: a kind has more entities than surrogates")
 
 
@@ -286,12 +334,13 @@ def replace_entities(docs: DataFrame, *, text_col: str = "text", secret: str = "
     """The documents with every entity replaced; with count_col also the number of entities."""
     text = docs[text_col]
     found = docs.select(F.explode(entities(text)).alias("e")).select(kind_of(F.col("e")).alias("kind"), "e")
-    forms = written(found.select("kind", canon(F.col("kind"), F.col("e")).alias("form")).distinct(), "forms")
+    forms = written(_with_surnames(found.select("kind", canon(F.col("kind"), F.col("e")).alias("form")).distinct()), "forms")
     odd = resolve(forms, secret)
     attempts = None
     if odd is not None:
         keyed = docs.select(F.xxhash64(text).alias("__text"), F.explode(F.array_distinct(entities(text))).alias("e"))
-        keyed = keyed.select("__text", kind_of(F.col("e")).alias("kind"), "e").select("__text", "kind", canon(F.col("kind"), F.col("e")).alias("form")).distinct()
+        keyed = keyed.select("__text", kind_of(F.col("e")).alias("kind"), "e").select("__text", "kind", canon(F.col("kind"), F.col("e")).alias("form"))
+        keyed = _with_surnames(keyed)
         name = F.concat_ws("|", "kind", "form")
         attempts = keyed.join(odd, ["kind", "form"]).groupBy("__text").agg(F.map_from_entries(F.collect_list(F.struct(name, "attempt"))).alias("__attempts"))
 
@@ -299,7 +348,7 @@ def replace_entities(docs: DataFrame, *, text_col: str = "text", secret: str = "
         return F.lit(0) if attempts is None else F.coalesce(F.try_element_at(F.col("__attempts"), F.concat_ws("|", kind, form)), F.lit(0))
 
     def new(e: Column) -> Column:
-        replaced = lambda kind, form: bind(surrogate(secret, kind, form, tried(kind, form)), lambda x: render(kind, e, x))
+        replaced = lambda kind, form: bind(surrogate(secret, kind, form, tried(kind, form), tried(F.lit("surname"), surname(form))), lambda x: render(kind, e, x))
         return bind(kind_of(e), lambda kind: bind(canon(kind, e), lambda form: replaced(kind, form)))
 
     between = F.split(text, ANY, -1)
