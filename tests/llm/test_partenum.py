@@ -54,10 +54,10 @@ def family(rng, n_base, copies):
 
 
 def test_components_and_links_equal_brute_force(spark):
-    for seed, size, percent, block in ((1, 4, 85, 512), (2, 5, 80, 4), (3, 2, 50, 7)):
+    for seed, size, percent, block, division in ((1, 4, 85, 512, 1 << 18), (2, 5, 80, 4, 60), (3, 2, 50, 7, 1 << 18)):
         rows = family(random.Random(seed), 25, 8)
         df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
-        got = P.jaccard_components(df, shingle=size, percent=percent, block=block).collect()
+        got = P.jaccard_components(df, shingle=size, percent=percent, block=block, division=division).collect()
         assert sorted((tuple(r) for r in got), key=str) == brute(rows, size, percent)
 
 
@@ -72,21 +72,56 @@ def test_keep_one(spark):
     rows = family(random.Random(4), 12, 6)
     rows += [(500, None), (501, ""), (rows[0][0], rows[0][1]), (None, rows[1][1]), (None, "a b c d e f g h")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, class int")
-    kept = P.keep_one(df)
-    assert kept.columns == df.columns
     label = {i: c for i, n, c, _ in brute(rows, 5, 80) if n and i is not None}
     expected = sorted([str(i) for i in set(label.values())] + ["500", "501", "None"])
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == expected
+    for block, division in ((512, 1 << 18), (3, 40)):
+        kept = P.keep_one(df, block=block, division=division)
+        assert kept.columns == df.columns
+        assert sorted(str(r["doc_id"]) for r in kept.collect()) == expected
+    assert P.keep_one(empty_documents(spark)).count() == 0
+
+
+def test_one_large_group_of_near_copies(spark):
+    """A chain of edits: neighbours are similar, far ones are not; most of the table is one component."""
+    rng = random.Random(8)
+    w = [f"w{rng.randint(0, 900)}" for _ in range(60)]
+    rows = []
+    for k in range(150):
+        w[rng.randrange(60)] = f"x{rng.randint(0, 900)}"
+        rows.append((k, " ".join(w)))
+    rows += [(200 + k, " ".join(f"y{rng.randint(0, 900)}" for _ in range(30))) for k in range(20)]
+    expected = brute(rows, 1, 80)
+    assert len({c for _, _, c, _ in expected}) < 40
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = P.jaccard_components(df, shingle=1, percent=80, block=16, division=200).collect()
+    assert sorted((tuple(r) for r in got), key=str) == expected
+    kept = {r["doc_id"] for r in P.keep_one(df, shingle=1, percent=80, block=16, division=200).collect()}
+    assert kept == {c for _, _, c, _ in expected}
+
+
+def test_differences_from_one_set_count_common_features():
+    rng = np.random.default_rng(5)
+    for left in (None, 6):
+        sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(14)]
+        deltas = [np.setxor1d(s, sets[3], assume_unique=True) for s in sets]
+        sizes = np.array([len(s) for s in sets])
+        got = {(a, int(b)) for a, found in P.similar_sets(sizes, deltas, 40, left) for b in found}
+        pairs = [(a, b) for a in range(14) for b in range(a + 1, 14) if left is None or a < left <= b]
+        assert got == {(a, b) for a, b in pairs if 100 * len(np.intersect1d(sets[a], sets[b])) >= 40 * len(np.union1d(sets[a], sets[b]))}
 
 
 def test_similar_sets_share_a_signature():
-    rng, bands = np.random.default_rng(1), P.Bands(85)
-    for n in (1, 2, 3, 7, 20, 100, 700):
-        for _ in range(40):
-            a = np.unique(mix(rng.integers(0, 1 << 60, n).astype(np.uint64)))
-            differ = 15 * 2 * n // 185
-            gone = rng.integers(0, differ // 2 + 1)
-            b = np.unique(np.concatenate([rng.permutation(a)[gone:], mix(rng.integers(0, 1 << 60, differ // 2 - gone).astype(np.uint64))]))
-            both = len(np.intersect1d(a, b))
-            if 100 * both >= 85 * (len(a) + len(b) - both):
-                assert set(bands.signatures(a).tolist()) & set(bands.signatures(b).tolist())
+    rng, met = np.random.default_rng(1), 0
+    for percent in (85, 80, 60, 50):
+        bands = P.Bands(percent)
+        for n in (1, 2, 3, 7, 20, 100, 700):
+            for _ in range(40):
+                a = np.unique(mix(rng.integers(0, 1 << 60, n).astype(np.uint64)))
+                gone, new = rng.integers(0, n * (100 - percent) // 100 + 1, 2)
+                b = np.unique(np.concatenate([rng.permutation(a)[gone:], mix(rng.integers(0, 1 << 60, new).astype(np.uint64))]))
+                both = len(np.intersect1d(a, b))
+                if 100 * both >= percent * (len(a) + len(b) - both):
+                    met += 1
+                    assert set(bands.signatures(a).tolist()) & set(bands.signatures(b).tolist())
+    assert met > 600
+    assert any(n2 > 1 for _, n2, _, _ in bands.shape)

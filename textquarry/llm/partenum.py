@@ -1,21 +1,28 @@
 """Exact n-gram Jaccard join with PartEnum signatures.
 
-Sets whose Jaccard similarity is s or more differ in at most (1 - s) / (1 + s) * (|A| + |B|) features.
-Sizes are divided into bands [l, l / s]; two similar sets lie in the same band or in neighbouring ones,
-and every set signs for its own band and the next. Within a band at most k features differ, so if the
-feature domain is divided into k + 1 parts or more, similar sets agree on one part at least: the
-subset of size one that the scheme enumerates. The features of a set that fall into one part, with band
-and part, make one signature.
-
-Empty parts agree too, which would bring together many sets that have nothing in common. A band has
-e parts more than needed, so similar sets agree on e + 1 parts; a set with up to e empty parts needs
-no signature for them. Only a set with more empty parts signs for those as well: if two similar sets
-agree on no part that is not empty, both have more than e. Nothing is lost.
-
-Among the sets that share a signature, sketches of 128 bytes, whose difference is never more than that of the
-sets, tell which pairs can be similar at all. The connected components of those are the blocks within which
-the sets themselves are compared, by counting common features through an inverted index. A large block is divided, and each pair of divisions is a task of its own; no
-pair of sets is ever emitted, only a spanning forest of links and the links' number per set.
+Sizes are divided into bands [l, l / s**2] (l / s for a similarity s under 0.75). A pair belongs to the band of its
+smaller set; a set signs for its own band and, if it can be the larger one of a pair there, for the
+band below. Two sets of a similarity of s or more whose smaller one has a features differ in at most
+k = (1 - s) / s * a of them. So a band divides the feature domain into n1 parts, and each of these into
+n2: where at most k features differ, some first-level part holds at most k2 = k // n1 of the differences,
+hence n2 - k2 of its second-level parts are equal in both sets. Every subset of n2 - k2 second-level parts
+is enumerated, and the features within a subset, with band, part and subset, make one signature. n1, n2
+and k2 are chosen for each band: the fewest signatures with DENSITY features each on average or, where no choice
+has as many, the densest that at most doubles their number.
+
+Empty subsets agree too, which would bring together many sets that have nothing in common. A band has
+e first-level parts more than needed, so similar sets agree in e + 1 of them; a set with up to e parts
+that have an empty subset needs no signature for empty ones. Nothing is lost.
+
+One document of each class of equal sets signs. Among the sets that share a signature, sketches of 128 bytes,
+whose difference is never more than that of the sets, tell which pairs can be similar at all; the
+connected components of those are the blocks. Within a block every set is replaced by its difference from
+one set of the block, the reference: two sets differ in exactly the features in which their
+differences from the reference do, so near copies are compared at the cost of what sets them apart.
+Blocks are divided by the number of these features and of sets, so that a task holds a bounded number of bytes,
+and each pair of divisions is a task of its own; no pair of sets is ever emitted, only a spanning
+forest of links and, where asked for, the links' number per set. Without numbers of links, sets
+that are similar to the reference need no comparison with one another.
 
 Equal sets are one class throughout, whatever their number.
 
@@ -30,59 +37,85 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 from pyspark.sql.window import Window
 
 from textquarry.llm.shingles import WordHashes, mix, set_key, shingle_set
 from textquarry.operators.components import connected_components
 from textquarry.sources.shared import written
 
-#: Bits of the filter that tells which documents' sets are wanted: 8 MB, whatever the corpus. Where it
-#: fills up, more sets than needed are sent on, and the join behind it drops them.
+#: Bits of a filter that tells which documents are asked for: 8 MB, whatever the corpus. Where it fills up,
+#: more documents than needed are sent on, and the join behind it drops them.
 _FILTER_BITS = 1 << 26
 #: Parts of the domain whose counts bound the difference of two sets; one byte each.
 SKETCH = 128
+#: Features that a signature covers on average, at least, where the choice of parts allows it.
+DENSITY = 2.0
+#: Features and sets of one division of a block.
+DIVISION_FEATURES = 1 << 18
 
 
 class Bands:
     """Size bands for a similarity of percent / 100, with the parts of each."""
 
     def __init__(self, percent: int):
-        self.percent, self.low, self.high, self.parts, self.spare = percent, [], [], [], []
+        self.percent, self.low, self.high, self.shape = percent, [], [], []
+
+    def _choose(self, low: int, k: int) -> tuple[int, int, int, int]:
+        """n1, n2, k2 and spare first-level parts."""
+        options = []
+        for k2 in range(3):
+            for n2 in range(k2 + 1, k2 + 4):
+                needed = k // (k2 + 1) + 1
+                options.append((needed * math.comb(n2, k2), low * (n2 - k2) / (needed * n2), needed, n2, k2))
+        enough = [x for x in options if x[1] >= DENSITY]
+        least = min(options)[0]
+        _, dense, needed, n2, k2 = min(enough) if enough else max((x for x in options if x[0] <= 2 * least), key=lambda x: (x[1], -x[0]))
+        # parts with an empty subset, as if features fell independently, and a margin
+        empty = min(1.0, math.comb(n2, k2) * math.exp(-dense)) * needed
+        spare = math.ceil(1.25 * empty + 3 * math.sqrt(empty)) if k else 0
+        return needed + spare, n2, k2, spare
 
     def reach(self, size: int) -> int:
         """The band of a size."""
         while not self.high or self.high[-1] < size:
             low = self.high[-1] + 1 if self.high else 1
             high = low * 100 // self.percent
-            differ = (100 - self.percent) * 2 * high // (100 + self.percent)
-            mean = low * self.percent / 100 / (differ + 1)
-            spare = math.ceil(3 * (differ + 1) * math.exp(-mean)) + 1 if differ else 0
+            if self.percent >= 75:
+                high = high * 100 // self.percent
             self.low.append(low)
             self.high.append(high)
-            self.spare.append(spare)
-            self.parts.append(differ + 1 + spare)
+            self.shape.append(self._choose(low, (100 - self.percent) * high // self.percent))
         return int(np.searchsorted(self.high, size))
 
     def signatures(self, features: np.ndarray) -> np.ndarray:
         """features: sorted distinct hashes. Parts are equal ranges of the hash, so they are slices."""
         band = self.reach(len(features))
-        self.reach(self.high[band] + 1)
+        bands = [band]
+        if band and self.percent * len(features) <= 100 * self.high[band - 1]:
+            bands.append(band - 1)
         total = np.zeros(len(features) + 1, np.uint64)
         np.cumsum(mix(features), out=total[1:])
         out = []
-        for b in (band, band + 1):
-            n = self.parts[b]
+        for b in bands:
+            n1, n2, k2, spare = self.shape[b]
+            n = n1 * n2
             part = ((features >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
             edge = np.searchsorted(part, np.arange(n + 1, dtype=np.uint64))
-            filled = edge[1:] > edge[:-1]
-            signed = filled if n - int(filled.sum()) <= self.spare[b] else np.ones(n, bool)
-            name = np.arange(n, dtype=np.uint64) + np.uint64(b << 40)
-            out.append(mix((total[edge[1:]] - total[edge[:-1]]) ^ mix(name))[signed])
+            sums, sizes = (total[edge[1:]] - total[edge[:-1]]).reshape(n1, n2), np.diff(edge).reshape(n1, n2)
+            chosen = list(combinations(range(n2), n2 - k2))
+            value = np.stack([sums[:, list(c)].sum(axis=1, dtype=np.uint64) for c in chosen], axis=1)
+            filled = np.stack([sizes[:, list(c)].sum(axis=1) for c in chosen], axis=1) > 0
+            signed = filled if int((~filled.all(axis=1)).sum()) <= spare else np.ones_like(filled)
+            name = np.arange(value.size, dtype=np.uint64).reshape(value.shape) + np.uint64((b + 1) << 40)
+            out.append(mix(value ^ mix(name))[signed])
         return np.concatenate(out)
 
 
@@ -118,15 +151,57 @@ def _set_rows(size: int):
     return run
 
 
-def _signature_rows(size: int, percent: int):
-    """(sign, class) of every set, equal sets once a task as far as half a million of them are remembered."""
+# ---- a filter over documents ------------------------------------------------------------------------
+
+
+def filter_places(ids: pa.Array, text_hashes: pa.Array) -> np.ndarray:
+    """Which bit of the filter stands for a document, told by its id and the hash of its text."""
+    i = np.asarray(ids.cast(pa.int64()).fill_null(-1)).view(np.uint64)
+    h = np.asarray(text_hashes.cast(pa.int64()).fill_null(0)).view(np.uint64)
+    return (mix(h ^ mix(i)) >> np.uint64(38)).astype(np.int64)
+
+
+def _filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        place = filter_places(batch.column(0), batch.column(1))
+        bits = (np.uint64(1) << (place & 63).astype(np.uint64)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(place >> 6), pa.array(bits)], names=["word", "bits"])
+
+
+class Filter:
+    """A broadcast bit set of documents (id, text_hash): never misses one, and lets a few others pass."""
+
+    def __init__(self, chosen: DataFrame):
+        words = chosen.select("id", "text_hash").mapInArrow(_filter_words, "word bigint, bits bigint")
+        found = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        bitmap = np.zeros(_FILTER_BITS >> 6, np.int64)
+        bitmap[np.asarray(found.column("word"))] = np.asarray(found.column("bits"))
+        self.shared = chosen.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+
+    def test(self):
+        """A function of Arrow columns id and text_hash, for use in tasks."""
+        shared = self.shared
+
+        def inside(ids: pa.Array, text_hashes: pa.Array) -> np.ndarray:
+            place = filter_places(ids, text_hashes)
+            return (shared.value[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+        return inside
+
+    def holds(self, doc: Column, text_hash: Column) -> Column:
+        inside = self.test()
+        return F.arrow_udf(lambda i, h: pa.array(inside(i, h)), BooleanType())(doc, text_hash)
+
+
+def _signature_rows(size: int, percent: int, inside):
+    """(sign, class) of the set of every document that stands for its class, each class once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bands, seen = WordHashes(), Bands(percent), set()
         for batch in batches:
             signs, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            for text in batch.column(1):
-                s = shingle_set(text.as_py(), size, hashes)
+            for k in np.flatnonzero(inside(batch.column(0), batch.column(2))).tolist():
+                s = shingle_set(batch.column(1)[k].as_py(), size, hashes)
                 if not len(s) or (key := set_key(s)) in seen:
                     continue
                 if len(seen) >= 500_000:
@@ -140,88 +215,105 @@ def _signature_rows(size: int, percent: int):
     return run
 
 
-def _wanted_sets(size: int, shared):
-    """The sets of the documents that the filter lets pass."""
+def _packed(inside):
+    """The documents that the filter lets pass, with their texts compressed for the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, wanted = WordHashes(), shared.value
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            ids, keys, sets = [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = shingle_set(text.as_py(), size, hashes)
-                if len(s):
-                    key = set_key(s)
-                    place = filter_place(key, i)
-                    if wanted[place >> 6] >> np.uint64(place & 63) & np.uint64(1):
-                        ids.append(i)
-                        keys.append(key)
-                        sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["id", "class", "features"])
+            batch = batch.filter(pa.array(inside(batch.column(0), batch.column(2))))
+            for lo in range(0, batch.num_rows, 500):
+                some = batch.slice(lo, 500)
+                texts = [pack.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in some.column(1)]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(texts, pa.binary())], names=["id", "text_hash", "packed"])
 
     return run
 
 
-def filter_place(key: int, doc: int | None) -> int:
-    """Which bit of the filter stands for a class and the document that represents it."""
-    x = np.array([key & (1 << 64) - 1], np.uint64) ^ mix(np.array([(doc if doc is not None else -1) & (1 << 64) - 1], np.uint64))
-    return int(mix(x)[0] >> np.uint64(38))
+# ---- comparison -------------------------------------------------------------------------------------
 
 
-def _filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        places = [filter_place(k, i) for k, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-        words, bits = [p >> 6 for p in places], [(1 << (p & 63)) - (1 << 64 if p & 63 == 63 else 0) for p in places]
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(bits, pa.int64())], names=["word", "bits"])
+def _is_similar(percent: int, size_a: int, sizes: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes that differ in so many features have the similarity."""
+    both = (size_a + sizes - differ) // 2
+    return (both > 0) & (100 * both >= percent * (size_a + sizes - both))
+
+
+_DELTA_DDL = "block bigint, class bigint, copies bigint, n bigint, near boolean, features binary"
+
 
+def _deltas(size: int, percent: int):
+    """Rows sorted by block, portion and whether they are the reference -> each set's difference from the reference."""
 
-def links_within(sets: list[np.ndarray], percent: int, left: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
-    """For each set its similar ones among the later sets, or, with `left`, for each of the first `left` sets those among the rest."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    _, feature, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, unpack, now, reference = WordHashes(), zstandard.ZstdDecompressor(), None, None
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 200):
+                out = []
+                for r in batch.slice(lo, 200).to_pylist():
+                    s = shingle_set(unpack.decompress(r["packed"]).decode("utf-8", "surrogatepass"), size, hashes)
+                    if r["leads"]:
+                        now, reference = (r["block"], r["portion"]), s
+                        if r["portion"] == 0:
+                            out.append((r["block"], r["class"], r["copies"], len(s), True, b""))
+                        continue
+                    assert now == (r["block"], r["portion"])
+                    delta = np.setxor1d(s, reference, assume_unique=True)
+                    near = bool(_is_similar(percent, len(s), np.array([len(reference)]), np.array([len(delta)]))[0])
+                    out.append((r["block"], r["class"], r["copies"], len(s), near, delta.tobytes()))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["block", "class", "copies", "n", "near", "features"])
+
+    return run
+
+
+def similar_sets(sizes: np.ndarray, deltas: list[np.ndarray], percent: int, left: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set its similar ones among the later sets, or, with `left`, for each of the first `left` sets those among the rest.
+
+    deltas are the sets' differences from one and the same set.
+    """
+    own = np.array([len(d) for d in deltas], np.int64)
+    owner = np.repeat(np.arange(len(deltas)), own)
+    _, feature, df = np.unique(np.concatenate(deltas), return_inverse=True, return_counts=True)
     order = np.argsort(feature, kind="stable")
     posting, ends = owner[order], np.cumsum(df)
-    at = np.cumsum(sizes) - sizes
-    for a in range(len(sets) if left is None else left):
-        own = feature[at[a] : at[a] + sizes[a]]
-        own = own[df[own] > 1]
-        if not len(own):
-            continue
-        n = df[own]
-        places = np.repeat(ends[own] - np.cumsum(n), n) + np.arange(int(n.sum()))
-        common = np.bincount(posting[places], minlength=len(sets))
-        common[: a + 1 if left is None else left] = 0
-        similar = np.flatnonzero(common)
-        both = common[similar]
-        yield a, similar[100 * both >= percent * (sizes[a] + sizes[similar] - both)]
-
-
-def _compare(percent: int):
-    """One block, or one pair of divisions of it: a spanning forest of its links (a, b) and, as (a, a, n), the links' number."""
-
-    def run(_key, table):
+    at = np.cumsum(own) - own
+    for a in range(len(deltas) if left is None else left):
+        begin = a + 1 if left is None else left
+        shared = feature[at[a] : at[a] + own[a]]
+        shared = shared[df[shared] > 1]
+        if len(shared):
+            n = df[shared]
+            places = np.repeat(ends[shared] - np.cumsum(n), n) + np.arange(int(n.sum()))
+            common = np.bincount(posting[places], minlength=len(deltas))[begin:]
+        else:
+            common = 0
+        differ = own[a] + own[begin:] - 2 * common
+        yield a, begin + np.flatnonzero(_is_similar(percent, sizes[a], sizes[begin:], differ))
+
+
+def _compare(percent: int, between: bool = False):
+    """One division of a block, or a pair of them: a spanning forest of its links (a, b) and, as (a, a, n), the links' number.
+
+    between: sets of one side are always compared with those of the other only.
+    """
+
+    def run(key, table):
         side = np.asarray(table.column("side"))
         rows = np.argsort(side, kind="stable")
-        keys, copies = np.asarray(table.column("class"))[rows], np.asarray(table.column("copies"))[rows]
-        features = table.column("features").to_pylist()
-        sets = [np.frombuffer(features[k], np.uint64) for k in rows]
-        left = int((side == 0).sum()) if side.any() else None
-        root, degree, out = list(range(len(sets))), np.zeros(len(sets), np.int64), []
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for a, similar in links_within(sets, percent, left):
+        keys, copies, sizes = (np.asarray(table.column(c))[rows] for c in ("class", "copies", "n"))
+        features = table.column("features")
+        deltas = [np.frombuffer(features[int(k)].as_buffer(), np.uint64) for k in rows]
+        left = int((side == 0).sum()) if between or key[1].as_py() != key[2].as_py() else None
+        label, degree, out = np.arange(len(keys)), np.zeros(len(keys), np.int64), []
+        for a, similar in similar_sets(sizes, deltas, percent, left):
+            similar = similar[keys[similar] != keys[a]]
             degree[a] += copies[similar].sum()
             degree[similar] += copies[a]
-            for b in similar.tolist():
-                x, y = find(a), find(b)
-                if x != y:
-                    root[x] = y
+            for b in similar[label[similar] != label[a]].tolist():
+                if label[b] != label[a]:
                     out.append((keys[a], keys[b], 0))
+                    label[label == label[b]] = label[a]
         out += [(keys[k], keys[k], degree[k]) for k in np.flatnonzero(degree)]
         return pa.table([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["a", "b", "links"])
 
@@ -241,27 +333,24 @@ def _buckets(signed: DataFrame) -> DataFrame:
     return written(named.distinct(), "buckets")
 
 
-def _dealt(rows: DataFrame, members: DataFrame, block: int) -> DataFrame:
+def _dealt(rows: DataFrame, divisions: DataFrame) -> DataFrame:
     """The rows of blocks for each pair (x, y) of a block's divisions; side tells whether a row is of the first or second."""
-    size = members.groupBy("block").agg(F.ceil(F.count("*") / block).alias("divisions"))
-    dealt = rows.join(size, "block").withColumn("own", F.pmod(F.xxhash64("class"), F.col("divisions")))
+    dealt = rows.join(divisions, "block").withColumn("own", F.pmod(F.xxhash64("class"), F.col("divisions")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("divisions") - 1)))
     kept = [c for c in rows.columns if c != "block"]
     return dealt.select("block", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), *kept)
 
 
-def _spread(dealt: DataFrame) -> DataFrame:
-    """Groups in as many tasks as the session shuffles to: they are small in bytes but costly, so AQE must not gather them."""
-    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.select("block", "x", "y", "side", "class", "n_shingles", "sketch").repartition(n, "block", "x", "y").sortWithinPartitions("block", "x", "y", "side")
+def _tasks(df: DataFrame) -> int:
+    """As many tasks as the session shuffles to: groups are small in bytes but costly, so AQE must not gather them."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _possible(percent: int):
     """Of each group in sorted rows a spanning forest of the pairs whose sketches allow them to be similar."""
 
-    def forest(side, keys, sizes, counts) -> list[tuple[int, int]]:
-        left = int((side == 0).sum()) if side.any() else None
-        # one set against all later ones (or all of the other side) at a time; those already connected are left out
+    def forest(left, keys, sizes, counts) -> list[tuple[int, int]]:
+        # one set against all later ones (or, with left, all of the other side) at a time; those already connected are left out
         label, out = np.arange(len(keys)), []
         for a in range(len(keys) if left is None else left):
             others = np.arange(a + 1 if left is None else left, len(keys))
@@ -286,7 +375,8 @@ def _possible(percent: int):
             counts = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
             for lo, hi in zip(edge[: None if last else -2], edge[1 : None if last else -1]):
                 if hi - lo > 1:
-                    out.extend(forest(side[lo:hi], keys[lo:hi], sizes[lo:hi], counts[lo:hi]))
+                    left = None if place[1, lo] == place[2, lo] else int((side[lo:hi] == 0).sum())
+                    out.extend(forest(left, keys[lo:hi], sizes[lo:hi], counts[lo:hi]))
             return edge[-2]
 
         def taken() -> pa.RecordBatch:
@@ -308,32 +398,70 @@ def _possible(percent: int):
     return run
 
 
-def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, block: int = 512) -> tuple[DataFrame, DataFrame]:
-    """(id, text_hash, n_shingles, class) of every document; (class, component, component_id, n_links) of every class."""
-    spark, source = docs.sparkSession, _input(docs, id_col, text_col)
+def _differences(source: DataFrame, wanted: DataFrame, shingle: int, percent: int, division: int) -> DataFrame:
+    """(block, class, copies, n, near, features) of the wanted classes: features is the difference from the block's reference."""
+    whole = wanted.groupBy("block").agg(F.min("class").alias("reference"), F.ceil(F.sum("n_shingles") / division).alias("portions"))
+    placed = wanted.join(whole, "block").withColumn("leads", F.col("class") == F.col("reference"))
+    portion = F.when(F.col("leads"), F.sequence(F.lit(0), F.col("portions") - 1)).otherwise(F.array(F.pmod(F.xxhash64("class"), F.col("portions"))))
+    packed = source.mapInArrow(_packed(Filter(wanted).test()), "id bigint, text_hash bigint, packed binary")
+    p, w = packed.alias("p"), placed.withColumn("portion", portion).alias("w")
+    met = p.join(w, (F.col("p.text_hash") == F.col("w.text_hash")) & F.col("p.id").eqNullSafe(F.col("w.id"))).dropDuplicates(["class"])
+    met = met.select("block", F.explode("portion").alias("portion"), "leads", "class", "copies", "packed")
+    met = met.repartition(_tasks(source), "block", "portion").sortWithinPartitions("block", "portion", F.desc("leads"))
+    return written(met.mapInArrow(_deltas(shingle, percent), _DELTA_DDL), "differences")
+
+
+def _divisions(rows: DataFrame, block: int, division: int, name: str = "divisions") -> DataFrame:
+    size = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.octet_length("features")) / (8 * division)))
+    return rows.groupBy("block").agg(size.alias(name))
+
+
+def _linked(rows: DataFrame, percent: int, count_links: bool, block: int, division: int) -> DataFrame:
+    """(a, b, links): a spanning forest of the links, and with count_links each class's number as (a, a, links)."""
+    n, ddl = _tasks(rows), "a bigint, b bigint, links bigint"
+    if count_links:
+        dealt = _dealt(rows.select("block", "class", "copies", "n", "features"), _divisions(rows, block, division))
+        return written(dealt.repartition(n, "block", "x", "y").groupBy("block", "x", "y").applyInArrow(_compare(percent), ddl), "links")
+    # those near the reference are connected already: only the others are compared with all
+    reference = rows.groupBy("block").agg(F.min("class").alias("reference"))
+    star = rows.where("near").join(reference, "block").where("class <> reference")
+    star = star.select(F.col("reference").alias("a"), F.col("class").alias("b"), F.lit(0).cast("long").alias("links"))
+    apart = rows.where("not near")
+    size = _divisions(apart, block, division, "xs").join(_divisions(rows, block, division, "ys"), "block")
+    own = F.xxhash64("class")
+    first = apart.join(size, "block").select("block", F.pmod(own, F.col("xs")).alias("x"), F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("y"), F.lit(0).alias("side"), "class", "copies", "n", "features")
+    second = rows.join(size, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x"), F.pmod(own, F.col("ys")).alias("y"), F.lit(1).alias("side"), "class", "copies", "n", "features")
+    met = first.unionByName(second).repartition(n, "block", "x", "y").groupBy("block", "x", "y").applyInArrow(_compare(percent, between=True), ddl)
+    return written(met.unionByName(star), "links")
+
+
+def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, block: int = 512, division: int = DIVISION_FEATURES, count_links: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(id, text_hash, n_shingles, class) of every document; (class, component, component_id, n_links) of every class.
+
+    Without count_links n_links only tells whether a class has any link or copy: it is 0 or more.
+    """
+    source = _input(docs, id_col, text_col)
     rows = written(source.mapInArrow(_set_rows(shingle), "id bigint, text_hash bigint, n_shingles bigint, class bigint, sketch binary"), "sets")
-    classes = rows.where("class is not null").groupBy("class").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    # of the smallest id, null last, and the smallest hash of the text: one document stands for the class
+    stands = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_hash"))
+    classes = rows.where("class is not null").groupBy("class").agg(stands.alias("s"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    classes = written(classes.select("class", "s.id", "s.text_hash", "copies", "n_shingles", "sketch"), "classes")
 
-    signed = source.mapInArrow(_signature_rows(shingle, percent), "sign bigint, class bigint")
-    sketches = classes.select("class", "n_shingles", "sketch")
+    signed = source.mapInArrow(_signature_rows(shingle, percent, Filter(classes).test()), "sign bigint, class bigint")
     buckets = _buckets(signed)
-    close = _spread(_dealt(buckets.join(sketches, "class"), buckets, 4 * block)).mapInArrow(_possible(percent), "a bigint, b bigint")
-    blocks = connected_components(written(close, "close")).select(F.col("node").alias("class"), F.col("component").alias("block"))
-    wanted = written(blocks.join(classes.drop("sketch", "n_shingles"), "class"), "wanted")
-
-    words = wanted.select("class", "id").mapInArrow(_filter_words, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    bitmap = np.zeros(_FILTER_BITS >> 6, np.int64)
-    found = words.toArrow()
-    bitmap[np.asarray(found.column("word"))] = np.asarray(found.column("bits"))
-    shared = spark.sparkContext.broadcast(bitmap.view(np.uint64))
-    sets = source.mapInArrow(_wanted_sets(shingle, shared), "id bigint, class bigint, features binary")
-    sets = sets.alias("s").join(wanted.alias("w"), (F.col("s.class") == F.col("w.class")) & F.col("s.id").eqNullSafe(F.col("w.id")))
-    sets = sets.select("w.class", "block", "copies", "features").dropDuplicates(["class"])
+    size = buckets.groupBy("block").agg(F.ceil(F.count("*") / (4 * block)).alias("divisions"))
+    close = _dealt(buckets.join(classes.select("class", "n_shingles", "sketch"), "class"), size)
+    close = close.select("block", "x", "y", "side", "class", "n_shingles", "sketch").repartition(_tasks(docs), "block", "x", "y").sortWithinPartitions("block", "x", "y", "side")
+    close = written(close.mapInArrow(_possible(percent), "a bigint, b bigint"), "close")
+    blocks = connected_components(close).select(F.col("node").alias("class"), F.col("component").alias("block"))
+    wanted = written(blocks.join(classes.drop("sketch"), "class"), "wanted")
 
-    compared = written(_dealt(sets, wanted, block).groupBy("block", "x", "y").applyInArrow(_compare(percent), "a bigint, b bigint, links bigint"), "links")
+    compared = _linked(_differences(source, wanted, shingle, percent, division), percent, count_links, block, division)
 
     reached = connected_components(compared.where("a <> b")).select(F.col("node").alias("class"), "component")
     links = compared.where("a = b").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
+    if not count_links:
+        links = reached.select("class", F.lit(1).cast("long").alias("links"))
     labelled = classes.join(reached, "class", "left").join(links, "class", "left")
     labelled = labelled.select("class", "id", "copies", F.coalesce("component", "class").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
     least = labelled.groupBy("component").agg(F.min("id").alias("component_id"))
@@ -341,9 +469,9 @@ def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return rows, out
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, block: int = 512) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, block: int = 512, division: int = DIVISION_FEATURES) -> DataFrame:
     """One row per document: its id, n_shingles, component_id and n_links, the number of documents it links with."""
-    rows, classes = classify(docs, id_col=id_col, text_col=text_col, shingle=shingle, percent=percent, block=block)
+    rows, classes = classify(docs, id_col=id_col, text_col=text_col, shingle=shingle, percent=percent, block=block, division=division)
     return rows.join(classes, "class", "left").select(
         F.col("id").alias(id_col),
         "n_shingles",
@@ -352,21 +480,26 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     )
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, block: int = 512) -> DataFrame:
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, block: int = 512, division: int = DIVISION_FEATURES) -> DataFrame:
     """One document of each component, with all its columns: the one with the smallest id (a null id comes last).
 
-    Documents without words all stay. Of rows with equal id and text in a component one stays.
+    Documents without words all stay. Of rows with equal id and text in a component one stays. Documents
+    that a filter shows to be neither dropped nor repeated are passed on where they are; only the
+    others are joined, and so shuffled.
     """
-    rows, classes = classify(docs, id_col=id_col, text_col=text_col, shingle=shingle, percent=percent, block=block)
-    order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("i"), F.col("text_hash").alias("h"))
+    rows, classes = classify(docs, id_col=id_col, text_col=text_col, shingle=shingle, percent=percent, block=block, division=division, count_links=False)
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "text_hash")
     members = rows.join(classes.where("n_links > 0").select("class", "component"), "class").select("component", order.alias("row"))
     keeper = members.groupBy("component").agg(F.min("row").alias("keeper"))
-    gone = written(members.join(keeper, "component").where("row <> keeper").select("row.i", "row.h").distinct(), "gone")
-    same = docs[id_col].cast("long").eqNullSafe(gone["i"]) & (F.xxhash64(docs[text_col].cast("string")) == gone["h"])
-    kept = docs.join(gone, same, "left_anti")
-    twice = rows.where("class is not null").groupBy("id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
-    twice = written(twice.select(F.col("id").alias("i"), F.col("text_hash").alias("h")), "twice")
-    if twice.isEmpty():
-        return kept
-    again = docs[id_col].cast("long").eqNullSafe(twice["i"]) & (F.xxhash64(docs[text_col].cast("string")) == twice["h"])
-    return kept.join(twice, again, "left_anti").unionAll(kept.join(twice, again, "left_semi").dropDuplicates([id_col, text_col]))
+    gone = members.join(keeper, "component").where("row <> keeper").select("row.id", "row.text_hash", F.lit(True).alias("gone")).distinct()
+    twice = rows.where("class is not null").groupBy("id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select("id", "text_hash", F.lit(False).alias("gone"))
+    asked = written(gone.unionByName(twice).groupBy("id", "text_hash").agg(F.max("gone").alias("gone")), "gone")
+    doc, text_hash = docs[id_col].cast("long"), F.xxhash64(docs[text_col].cast("string"))
+    marked = docs.select(*docs.columns, doc.alias("__id"), text_hash.alias("__hash"))
+    marked = marked.withColumn("__maybe", Filter(asked).holds(F.col("__id"), F.col("__hash")))
+    asked = asked.select(F.col("id").alias("__i"), F.col("text_hash").alias("__h"), F.col("gone").alias("__gone"))
+    same = F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h"))
+    met = marked.where("__maybe").join(asked, same, "left").where("__gone is null or not __gone")
+    alone, again = met.where("__gone is null"), met.where("not __gone").dropDuplicates(["__id", "__hash"])
+    out = marked.where("not __maybe").select(*docs.columns)
+    return out.unionAll(alone.select(*docs.columns)).unionAll(again.select(*docs.columns))
