@@ -1,5 +1,8 @@
+import random
 import re
+import unicodedata
 
+import regex
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import empty_documents, odd_documents
@@ -99,3 +102,74 @@ def test_surnames_genders_and_country_codes(spark):
     assert all(p.startswith("+49") for p in out[2])
     johns = [names[1], *(out[k][0].split(" ")[1:] for k in range(3, len(said)))]
     assert len({tuple(n) for n in johns}) == len(johns) and {n[-1] for n in johns} == {names[0][-1]}
+
+
+def test_long_entities_do_not_crash(spark):
+    """Nothing in the patterns recurses: 100,000 labels, name letters and separators."""
+    n = 100_000
+    texts = ["x@" + "a." * n + "com", "Mr A" + "b" * n + " C" + "d" * n, "1" + "-1" * n, "x" * n + "@" + "é" * n + ".org", "+1" + " 22" * n, "x@" + "a-" * n + ".b" * n]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    out = {r["doc_id"]: r["text"] for r in S.replace_entities(df).collect()}
+    assert out[0].count(".") == n and out[0].endswith(".com") and out[0] != texts[0]
+    assert len(out[3]) == len(texts[3]) and out[3] != texts[3] and out[2] == texts[2]
+
+
+def test_a_full_space_of_surrogates_grows(spark, monkeypatch):
+    """All one-letter addresses of a domain are real, so their surrogates must be longer."""
+    monkeypatch.setattr(S, "GROW_AFTER", 2)
+    rows = [(k, f"{c}@x.org") for k, c in enumerate("abcdefghijklmnopqrstuvwxyz")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    out = [r["text"] for r in S.replace_entities(df).collect()]
+    assert len(set(out)) == 26 and not set(out) & {t for _, t in rows}
+    assert all(re.fullmatch(r"[a-z]{1,9}@[a-z]\.org", t) for t in out)
+
+
+def shape(entity):
+    """Script or kind, and case, of each character."""
+    def one(c):
+        if c.isdigit():
+            return "0"
+        return unicodedata.name(c).split()[0] + str(c.isupper()) if c.isalpha() else c
+
+    return "".join(map(one, entity))
+
+
+def plain_form(entity):
+    """Kind and what tells an entity from others, by plain string work."""
+    if "@" in entity:
+        return "email", entity.lower()
+    if regex.match(r"[A-Z]{2}[0-9]{2}", entity):
+        return "iban", entity.replace(" ", "")
+    if regex.fullmatch(r"[0-9.]+", entity) and entity.count(".") == 3:
+        return "ip", entity
+    return "number", "".join(c for c in entity if c.isdigit())[-10:]
+
+
+def test_against_brute_force(spark):
+    """Entities found anew with another regular expression engine; what lies between stays, equal ones stay equal, others differ."""
+    rng = random.Random(2)
+    people = [f"{rng.choice('abcdef')}.{rng.choice(['weber', 'ивана', 'müller'])}{rng.randint(1, 40)}@mail{rng.randint(1, 3)}.org" for _ in range(60)]
+    phones = [f"{rng.randint(200, 999)}-{rng.randint(200, 999)}-{rng.randint(1000, 9999)}" for _ in range(60)]
+    cards = ["".join(str(rng.randint(0, 9)) for _ in range(16)) for _ in range(30)]
+    others = [".".join(str(rng.randint(1, 254)) for _ in range(4)) for _ in range(30)] + [f"{rng.randint(100, 999)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}" for _ in range(30)]
+
+    def layout(e):
+        if e in people:
+            return rng.choice([e, e.upper()])
+        if e in phones:
+            return rng.choice([e, f"({e[:3]}) {e[4:]}", f"+1 {e}", f"+1{e.replace('-', '')}", e.replace("-", ".")])
+        return rng.choice([e, " ".join(e[i : i + 4] for i in range(0, 16, 4))]) if e in cards else e
+
+    rows = [(k, "; ".join(rng.choice(["wort", "über 12", "a, b"]) + " " + layout(rng.choice(people + phones + cards + others)) for _ in range(rng.randint(0, 6)))) for k in range(200)]
+    out = {r["doc_id"]: r["text"] for r in S.replace_entities(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    known, rendered = {}, {}
+    for k, text in rows:
+        # octets change their length, so texts are compared entity by entity
+        old, new = (list(regex.finditer(S.ANY, t)) for t in (text, out[k]))
+        assert regex.split(S.ANY, text) == regex.split(S.ANY, out[k]) and len(old) == len(new)
+        for before, after in zip((m[0] for m in old), (m[0] for m in new), strict=True):
+            form, put = plain_form(before), plain_form(after)
+            assert form[0] == put[0] and (form[0] == "ip" or shape(before) == shape(after))
+            assert known.setdefault(form, put) == put and rendered.setdefault(put, form) == form
+    real = {plain_form(m[0]) for _, t in rows for m in regex.finditer(S.ANY, t)}
+    assert len(known) > 100 and not set(rendered) & real

@@ -13,7 +13,8 @@ Distinct entities must stay distinct, and no surrogate may be another real entit
 canonical forms are gathered (never texts), surrogates that meet or that equal a real form are found by
 an aggregation and a join, and those entities try again with the next attempt until none is left. The
 few entities with an attempt above 0 are joined to the documents that mention them; usually there are
-none, and the text is rewritten in place without a shuffle.
+none, and the text is rewritten in place without a shuffle. Where a kind has nearly as many entities as surrogates of
+their length (one-letter addresses, four-digit numbers), those that still meet after GROW_AFTER attempts get longer ones.
 
 Defined results
     null text stays null, texts without entities stay as they are, byte for byte. Null and repeated ids
@@ -38,7 +39,7 @@ _CODE = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]
 _LETTERS = {
     "[a-z]": "abcdefghijklmnopqrstuvwxyz",
     "[0-9]": "0123456789",
-    r"\p{IsLatin}": "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþœß",
+    r"\p{IsLatin}": "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþœ",
     r"\p{IsCyrillic}": "абвгдежзийклмнопрстуфхцчшщыьэюя",
     r"\p{IsGreek}": "αβγδεζηθικλμνξοπρστυφχψω",
     r"\p{IsArabic}": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي",
@@ -64,12 +65,15 @@ _SYLLABLES = {
     "cyrillic": "бал бер вол гор дал дим кар лен мар нов ор пет рад сав тар ул фед хол чер яр",
 }
 
+#: Attempts after which surrogates grow longer than their originals.
+GROW_AFTER = 12
+
 _PART = r"[\p{L}\p{N}._%+-]"
 _LABEL = r"[\p{L}\p{N}-]"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Kinds and their patterns, in the order in which they are tried at a place.
 PATTERNS = {
-    "email": rf"(?<!{_PART}){_PART}++@{_LABEL}++(?:\.{_LABEL}++)+",
+    "email": rf"(?<!{_PART}){_PART}++@{_LABEL}++(?:\.{_LABEL}++)++",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9])",
@@ -115,7 +119,7 @@ def _gender(e: Column) -> Column:
 
 def surname(form: Column) -> Column:
     """The surname of a name's canonical form."""
-    return F.regexp_extract(form, "[^ ]*$", 0)
+    return F.substring_index(form, " ", -1)
 
 
 def canon(kind: Column, e: Column) -> Column:
@@ -171,6 +175,11 @@ def _swap(c: Column, n: Column) -> Column:
     return bind(F.lower(c), lambda lower: bind(small(lower), lambda new: F.when(c == lower, new).otherwise(F.upper(new))))
 
 
+def _grown(form: Column, attempt: Column, by: str) -> Column:
+    """Where a small space of surrogates is nearly taken, later attempts have one, two, ... characters more."""
+    return F.concat(form, F.repeat(F.lit(by), F.greatest(F.ceil((attempt - GROW_AFTER) / 2), F.lit(0)).cast("int")))
+
+
 def _swapped(form: Column, digest: Column) -> Column:
     return F.array_join(F.transform(_chars(form), lambda c, i: _swap(c, _number(digest, i))), "")
 
@@ -188,10 +197,10 @@ def _luhn(body: Column) -> Column:
     return ((F.lit(10) - total % 10) % 10).cast("string")
 
 
-def _card(form: Column, digest: Column) -> Column:
+def _card(form: Column, digest: Column, original: Column) -> Column:
     """The first digit stays, which tells the network."""
     body = lambda x: F.substr(x, F.lit(1), F.length(x) - 1)
-    valid = F.right(form, F.lit(1)) == _luhn(body(form))
+    valid = F.right(original, F.lit(1)) == _luhn(body(original))
     new = F.concat(F.substr(form, F.lit(1), F.lit(1)), F.substr(_digits(form, digest), F.lit(2)))
     return bind(new, lambda x: F.when(valid, F.concat(body(x), _luhn(body(x)))).otherwise(x))
 
@@ -228,14 +237,14 @@ def _name(form: Column, digest: Column, attempt: Column, secret: str, own: Colum
     return F.concat(F.substr(form, F.lit(1), F.lit(2)), bind(F.regexp_extract(form, "^. ([^ ]+) ", 1), given), last)
 
 
-def _email(form: Column, digest: Column, secret: str) -> Column:
+def _email(form: Column, digest: Column, attempt: Column, secret: str) -> Column:
     """The part before the at sign by the whole address, the domain by itself; the last label stays."""
 
     def domain(d: Column) -> Column:
         head, last = F.regexp_extract(d, r"^(.*)\.[^.]*$", 1), F.regexp_extract(d, r"\.[^.]*$", 0)
         return F.concat(bind(_digest(secret, F.lit("domain"), d, F.lit(0)), lambda own: _swapped(head, own)), last)
 
-    return F.concat(_swapped(F.regexp_extract(form, "^[^@]*", 0), digest), F.lit("@"), bind(F.regexp_extract(form, "@(.*)$", 1), domain))
+    return F.concat(_swapped(_grown(F.regexp_extract(form, "^[^@]*", 0), attempt, "a"), digest), F.lit("@"), bind(F.regexp_extract(form, "@(.*)$", 1), domain))
 
 
 def surrogate(secret: str, kind: Column, form: Column, attempt: Column, own: Column) -> Column:
@@ -244,13 +253,13 @@ def surrogate(secret: str, kind: Column, form: Column, attempt: Column, own: Col
     def by_kind(digest: Column) -> Column:
         octets = F.transform(F.split(form, r"\."), lambda o, i: (_number(digest, i * 4) % 254 + 1).cast("string"))
         return (
-            F.when(kind == "email", _email(form, digest, secret))
-            .when(kind == "iban", F.concat(F.substr(form, F.lit(1), F.lit(2)), _swapped(F.substr(form, F.lit(3)), digest)))
+            F.when(kind == "email", _email(form, digest, attempt, secret))
+            .when(kind == "iban", F.concat(F.substr(form, F.lit(1), F.lit(2)), _swapped(_grown(F.substr(form, F.lit(3)), attempt, "0"), digest)))
             .when(kind == "ip", F.array_join(octets, "."))
-            .when(kind == "card", _card(form, digest))
+            .when(kind == "card", _card(_grown(form, attempt, "0"), digest, form))
             .when(kind == "name", _name(form, digest, attempt, secret, own))
             .when(kind == "surname", _surname(form, digest, attempt))
-            .otherwise(_digits(form, digest))
+            .otherwise(_digits(_grown(form, attempt, "0"), digest))
         )
 
     return bind(_digest(secret, kind, form, attempt), by_kind)
@@ -260,14 +269,17 @@ def surrogate(secret: str, kind: Column, form: Column, attempt: Column, own: Col
 
 
 def _refill(e: Column, new: Column, slot: str) -> Column:
-    """The characters of new, one after another, in the slots of e."""
+    """The characters of new, one after another, in the slots of e, and those left over behind it."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
     step = lambda a, c: F.when(c.rlike(slot), F.struct(F.concat(a["out"], F.substr(new, a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at")))
-    return F.aggregate(_chars(e), start, step, lambda a: a["out"])
+    return F.aggregate(_chars(e), start, step, lambda a: F.concat(a["out"], F.substr(new, a["at"])))
 
 
 def _recase(e: Column, new: Column) -> Column:
-    return F.array_join(F.zip_with(_chars(e), _chars(new), lambda o, n: F.when(o == F.lower(o), n).otherwise(F.upper(n))), "")
+    """Capitals where e has them, matched from both sides of the at sign."""
+    case = lambda old, to: F.array_join(F.zip_with(_chars(old), _chars(to), lambda o, n: F.when(F.coalesce(o == F.lower(o), F.lit(True)), n).otherwise(F.upper(n))), "")
+    part, domain = "^[^@]*", "@.*$"
+    return F.concat(*(case(F.regexp_extract(e, p, 0), F.regexp_extract(new, p, 0)) for p in (part, domain)))
 
 
 def render(kind: Column, e: Column, new: Column) -> Column:
@@ -307,19 +319,22 @@ def _with_surnames(forms: DataFrame) -> DataFrame:
 
 def resolve(forms: DataFrame, secret: str, most_rounds: int = 40) -> DataFrame | None:
     """(kind, form, attempt) of the entities that need an attempt above 0; None if there are none. Surnames come before names."""
-    first = _resolve(forms.where("kind <> 'name'").withColumn("own", F.lit(0)), secret, most_rounds)
+    new = surrogate(secret, F.col("kind"), F.col("form"), F.col("attempt"), F.col("own"))
+    first = _resolve(forms.where("kind <> 'name'").withColumn("own", F.lit(0)), new, most_rounds)
     names = forms.where("kind = 'name'")
     if first is None:
-        return _resolve(names.withColumn("own", F.lit(0)), secret, most_rounds)
+        return _resolve(names.withColumn("own", F.lit(0)), new, most_rounds)
     own = first.where("kind = 'surname'").select(F.col("form").alias("__last"), F.col("attempt").alias("own"))
     names = names.join(own, surname(F.col("form")) == F.col("__last"), "left").select("kind", "form", F.coalesce("own", F.lit(0)).alias("own"))
-    then = _resolve(names, secret, most_rounds)
+    then = _resolve(names, new, most_rounds)
     return first if then is None else first.unionByName(then)
 
 
-def _resolve(forms: DataFrame, secret: str, most_rounds: int) -> DataFrame | None:
+def _resolve(forms: DataFrame, new: Column, most_rounds: int) -> DataFrame | None:
+    """new: the surrogate, told by kind, form, attempt and own."""
+
     def attempt(tried: DataFrame) -> DataFrame:
-        return written(tried.withColumn("new", surrogate(secret, F.col("kind"), F.col("form"), F.col("attempt"), F.col("own"))), "tried")
+        return written(tried.withColumn("new", new), "tried")
 
     tried = attempt(forms.withColumn("attempt", F.lit(0)))
     for k in range(most_rounds):
@@ -327,7 +342,7 @@ def _resolve(forms: DataFrame, secret: str, most_rounds: int) -> DataFrame | Non
         if again.isEmpty():
             return tried.where("attempt > 0").select("kind", "form", "attempt") if k else None
         tried = attempt(tried.join(again, ["kind", "form"], "left").select("kind", "form", "own", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")))
-    raise RuntimeError("surrogates still meet: a kind has more entities than surrogates")
+    raise RuntimeError(f"surrogates still meet after {most_rounds} rounds")
 
 
 def replace_entities(docs: DataFrame, *, text_col: str = "text", secret: str = "change-me", count_col: str | None = None) -> DataFrame:
