@@ -125,3 +125,37 @@ def test_similar_sets_share_a_signature():
                     assert set(bands.signatures(a).tolist()) & set(bands.signatures(b).tolist())
     assert met > 600
     assert any(n2 > 1 for _, n2, _, _ in bands.shape)
+
+
+def test_sketches_never_miss_a_similar_pair():
+    rng = np.random.default_rng(3)
+    sets = []
+    for n in (30, 200, 700, 700, 5000, 5000, 9000):
+        a = np.unique(mix(rng.integers(0, 1 << 60, n).astype(np.uint64)))
+        sets += [a, np.unique(np.concatenate([a[n // 12 :], mix(rng.integers(0, 1 << 60, n // 12).astype(np.uint64))]))]
+    sketches = [P.fine_sketch(s) or P.sketch(s) for s in sets]
+    assert {len(x) for x in sketches} == {128, 256, 2048, 4096}
+    sizes = np.array([len(s) for s in sets])
+    order = rng.permutation(len(sets))
+    for left in (None, 7):
+        pairs = {tuple(sorted(order[list(p)] // 2)) for p in P.possible_pairs(sizes[order], [sketches[k] for k in order], 80, left)}
+        assert all(a == b for a, b in pairs)
+        assert left is not None or pairs == {(k, k) for k in range(7)}
+
+
+def test_long_documents(spark):
+    rng = random.Random(6)
+    shared = [f"s{rng.randint(0, 9000)}" for _ in range(300)]
+    rows = []
+    for k in range(8):
+        base = [f"w{rng.randint(0, 90000)}" for _ in range(rng.choice([600, 1500, 4000]))]
+        base[100:100] = shared
+        for c in range(3):
+            w = list(base)
+            for _ in range(len(w) // (200 if c < 2 else 10)):
+                w[rng.randrange(len(w))] = f"e{rng.randint(0, 9000)}"
+            rows.append((10 * k + c, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    expected = brute(rows, 5, 80)
+    assert sorted((tuple(r) for r in P.jaccard_components(df, block=2, division=3000).collect()), key=str) == expected
+    assert {r["doc_id"] for r in P.keep_one(df).collect()} == {c for _, _, c, _ in expected}

@@ -16,7 +16,8 @@ that have an empty subset needs no signature for empty ones. Nothing is lost.
 
 One document of each class of equal sets signs. Among the sets that share a signature, sketches of 128 bytes,
 whose difference is never more than that of the sets, tell which pairs can be similar at all; the
-connected components of those are the blocks. Within a block every set is replaced by its difference from
+connected components of those are the blocks. Blocks with sets too large for such sketches are told apart once more by
+sketches that grow with the set. Within a block every set is replaced by its difference from
 one set of the block, the reference: two sets differ in exactly the features in which their
 differences from the reference do, so near copies are compared at the cost of what sets them apart.
 Blocks are divided by the number of these features and of sets, so that a task holds a bounded number of bytes,
@@ -54,12 +55,16 @@ from textquarry.sources.shared import written
 #: Bits of a filter that tells which documents are asked for: 8 MB, whatever the corpus. Where it fills up,
 #: more documents than needed are sent on, and the join behind it drops them.
 _FILTER_BITS = 1 << 26
-#: Parts of the domain whose counts bound the difference of two sets; one byte each.
+#: Parts of the domain whose counts bound the difference of two sets; one byte each. Larger sets have a fine sketch too.
 SKETCH = 128
+#: Features for each part of a fine sketch: unrelated sets then differ far more than the bound.
+PER_PART = 4
 #: Features that a signature covers on average, at least, where the choice of parts allows it.
 DENSITY = 2.0
 #: Features and sets of one division of a block.
-DIVISION_FEATURES = 1 << 18
+DIVISION_FEATURES = 1 << 20
+#: Bytes of sketches of one division.
+_DIVISION_SKETCHES = 8 << 20
 
 
 class Bands:
@@ -124,29 +129,36 @@ def _input(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
 
-def sketch(features: np.ndarray) -> bytes:
-    """How many features lie in each of SKETCH parts of the domain, 255 at most.
+def sketch(features: np.ndarray, parts: int = SKETCH) -> bytes:
+    """How many features lie in each of so many parts of the domain, a power of two; 255 at most.
 
-    The counts of two sets differ by no more, all together, than the sets do.
+    The counts of two sets differ by no more, all together, than the sets do. Adding neighbours makes a sketch of fewer parts.
     """
-    counts = np.bincount((mix(features) >> np.uint64(57)).astype(np.int64), minlength=SKETCH)
+    counts = np.bincount((mix(features) >> np.uint64(65 - parts.bit_length())).astype(np.int64), minlength=parts)
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
+def fine_sketch(features: np.ndarray) -> bytes | None:
+    """None where the short sketch is fine enough."""
+    parts = 1 << max(0, (len(features) - 1) // PER_PART).bit_length()
+    return sketch(features, parts) if parts > SKETCH else None
+
+
 def _set_rows(size: int):
-    """id, text_hash, n_shingles, class and sketch (both null for an empty set) of every document."""
+    """id, text_hash, n_shingles, class, sketch (both null for an empty set) and fine sketch of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            n, keys, sketches = [], [], []
+            n, keys, sketches, fine = [], [], [], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), size, hashes)
                 n.append(len(s))
                 keys.append(set_key(s) if len(s) else None)
                 sketches.append(sketch(s) if len(s) else None)
-            cols = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "text_hash", "n_shingles", "class", "sketch"])
+                fine.append(fine_sketch(s))
+            cols = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(sketches, pa.binary()), pa.array(fine, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "text_hash", "n_shingles", "class", "sketch", "fine"])
 
     return run
 
@@ -346,23 +358,37 @@ def _tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def possible_pairs(sizes: np.ndarray, sketches: list[bytes], percent: int, left: int | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose sketches allow them to be similar; with `left`, of pairs of the first `left` sets and the rest."""
+    parts = np.array([len(x) for x in sketches])
+    # at each number of parts the sketches that have as many or more, folded to it
+    levels = {}
+    for m in np.unique(parts).tolist():
+        rows = np.flatnonzero(parts >= m)
+        place = np.full(len(parts), -1)
+        place[rows] = np.arange(len(rows))
+        levels[m] = place, np.stack([np.frombuffer(sketches[k], np.uint8).reshape(m, -1).sum(axis=1, dtype=np.int32) for k in rows])
+    label, out = np.arange(len(sizes)), []
+    # one set against all later ones (or all of the other side) at a time; those already connected are left out
+    for a in range(len(sizes) if left is None else left):
+        others = np.arange(a + 1 if left is None else left, len(sizes))
+        others = others[label[others] != label[a]]
+        if not len(others):
+            continue
+        differ, shared = np.zeros(len(others), np.int64), np.minimum(parts[others], parts[a])
+        for m in np.unique(shared).tolist():
+            place, counts = levels[m]
+            some = shared == m
+            differ[some] = np.abs(counts[place[others[some]]] - counts[place[a]]).sum(axis=1)
+        found = others[(100 + percent) * differ <= (100 - percent) * (sizes[others] + sizes[a])]
+        if len(found):
+            out += [(a, b) for b in found.tolist()]
+            label[np.isin(label, label[found])] = label[a]
+    return out
+
+
 def _possible(percent: int):
-    """Of each group in sorted rows a spanning forest of the pairs whose sketches allow them to be similar."""
-
-    def forest(left, keys, sizes, counts) -> list[tuple[int, int]]:
-        # one set against all later ones (or, with left, all of the other side) at a time; those already connected are left out
-        label, out = np.arange(len(keys)), []
-        for a in range(len(keys) if left is None else left):
-            others = np.arange(a + 1 if left is None else left, len(keys))
-            others = others[label[others] != label[a]]
-            if not len(others):
-                continue
-            differ = np.abs(counts[others] - counts[a]).sum(axis=1)
-            found = others[(100 + percent) * differ <= (100 - percent) * (sizes[others] + sizes[a])]
-            if len(found):
-                out += [(keys[a], keys[b]) for b in found.tolist()]
-                label[np.isin(label, label[found])] = label[a]
-        return out
+    """possible_pairs() of each group in rows sorted by block, x and y, as pairs of classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, out = None, []
@@ -372,11 +398,11 @@ def _possible(percent: int):
             place = np.stack([np.asarray(table.column(k)) for k in (0, 1, 2)])
             edge = [0, *(np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1).tolist(), table.num_rows]
             side, keys, sizes = (np.asarray(table.column(k)) for k in (3, 4, 5))
-            counts = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
+            sketches = table.column(6).to_pylist()
             for lo, hi in zip(edge[: None if last else -2], edge[1 : None if last else -1]):
                 if hi - lo > 1:
                     left = None if place[1, lo] == place[2, lo] else int((side[lo:hi] == 0).sum())
-                    out.extend(forest(left, keys[lo:hi], sizes[lo:hi], counts[lo:hi]))
+                    out.extend((keys[lo + a], keys[lo + b]) for a, b in possible_pairs(sizes[lo:hi], sketches[lo:hi], percent, left))
             return edge[-2]
 
         def taken() -> pa.RecordBatch:
@@ -398,6 +424,19 @@ def _possible(percent: int):
     return run
 
 
+def _close(members: DataFrame, percent: int, block: int) -> DataFrame:
+    """(a, b): spanning forests of the possible pairs within the blocks of members (block, class, n_shingles, sketch)."""
+    size = F.greatest(F.ceil(F.count("*") / (4 * block)), F.ceil(F.sum(F.octet_length("sketch")) / _DIVISION_SKETCHES))
+    dealt = _dealt(members, members.groupBy("block").agg(size.alias("divisions")))
+    dealt = dealt.select("block", "x", "y", "side", "class", "n_shingles", "sketch")
+    dealt = dealt.repartition(_tasks(members), "block", "x", "y").sortWithinPartitions("block", "x", "y", "side")
+    return written(dealt.mapInArrow(_possible(percent), "a bigint, b bigint"), "close")
+
+
+def _components(close: DataFrame) -> DataFrame:
+    return connected_components(close).select(F.col("node").alias("class"), F.col("component").alias("block"))
+
+
 def _differences(source: DataFrame, wanted: DataFrame, shingle: int, percent: int, division: int) -> DataFrame:
     """(block, class, copies, n, near, features) of the wanted classes: features is the difference from the block's reference."""
     whole = wanted.groupBy("block").agg(F.min("class").alias("reference"), F.ceil(F.sum("n_shingles") / division).alias("portions"))
@@ -441,20 +480,21 @@ def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     Without count_links n_links only tells whether a class has any link or copy: it is 0 or more.
     """
     source = _input(docs, id_col, text_col)
-    rows = written(source.mapInArrow(_set_rows(shingle), "id bigint, text_hash bigint, n_shingles bigint, class bigint, sketch binary"), "sets")
+    rows = written(source.mapInArrow(_set_rows(shingle), "id bigint, text_hash bigint, n_shingles bigint, class bigint, sketch binary, fine binary"), "sets")
     # of the smallest id, null last, and the smallest hash of the text: one document stands for the class
     stands = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_hash"))
-    classes = rows.where("class is not null").groupBy("class").agg(stands.alias("s"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    classes = written(classes.select("class", "s.id", "s.text_hash", "copies", "n_shingles", "sketch"), "classes")
+    classes = rows.where("class is not null").groupBy("class").agg(stands.alias("s"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n_shingles", "sketch", "fine")))
+    classes = written(classes.select("class", "s.id", "s.text_hash", "copies", "n_shingles", "sketch", "fine"), "classes")
 
     signed = source.mapInArrow(_signature_rows(shingle, percent, Filter(classes).test()), "sign bigint, class bigint")
     buckets = _buckets(signed)
-    size = buckets.groupBy("block").agg(F.ceil(F.count("*") / (4 * block)).alias("divisions"))
-    close = _dealt(buckets.join(classes.select("class", "n_shingles", "sketch"), "class"), size)
-    close = close.select("block", "x", "y", "side", "class", "n_shingles", "sketch").repartition(_tasks(docs), "block", "x", "y").sortWithinPartitions("block", "x", "y", "side")
-    close = written(close.mapInArrow(_possible(percent), "a bigint, b bigint"), "close")
-    blocks = connected_components(close).select(F.col("node").alias("class"), F.col("component").alias("block"))
-    wanted = written(blocks.join(classes.drop("sketch"), "class"), "wanted")
+    close = _close(buckets.join(classes.select("class", "n_shingles", "sketch"), "class"), percent, block)
+    wanted = written(_components(close).join(classes, "class"), "wanted")
+    large = wanted.groupBy("block").agg(F.max(F.col("fine").isNotNull()).alias("large"))
+    wanted = wanted.join(large, "block")
+    told = wanted.where("large").select("block", "class", "n_shingles", F.coalesce("fine", "sketch").alias("sketch"))
+    apart = _components(_close(told, percent, block)).join(wanted.where("large").drop("block"), "class")
+    wanted = written(wanted.where("not large").unionByName(apart).drop("sketch", "fine", "large"), "wanted")
 
     compared = _linked(_differences(source, wanted, shingle, percent, division), percent, count_links, block, division)
 
