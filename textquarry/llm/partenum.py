@@ -63,6 +63,8 @@ PER_PART = 4
 DENSITY = 2.0
 #: Features and sets of one division of a block.
 DIVISION_FEATURES = 1 << 20
+#: Sets of a group whose sketches are compared all at once.
+_SMALL = 48
 #: Bytes of sketches of one division.
 _DIVISION_SKETCHES = 8 << 20
 
@@ -361,6 +363,8 @@ def _tasks(df: DataFrame) -> int:
 def possible_pairs(sizes: np.ndarray, sketches: list[bytes], percent: int, left: int | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the pairs whose sketches allow them to be similar; with `left`, of pairs of the first `left` sets and the rest."""
     parts = np.array([len(x) for x in sketches])
+    if len(sketches) <= _SMALL and (parts == parts[0]).all():
+        return _all_at_once(sizes, np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1).astype(np.int16), percent, left)
     # at each number of parts the sketches that have as many or more, folded to it
     levels = {}
     for m in np.unique(parts).tolist():
@@ -387,6 +391,24 @@ def possible_pairs(sizes: np.ndarray, sketches: list[bytes], percent: int, left:
     return out
 
 
+def _all_at_once(sizes: np.ndarray, counts: np.ndarray, percent: int, left: int | None) -> list[tuple[int, int]]:
+    """possible_pairs() of a small group whose sketches have one length."""
+    n, out = len(sizes), []
+    differ = np.abs(counts[:left, None, :] - counts[None, :, :]).sum(axis=2, dtype=np.int64)
+    met = (100 + percent) * differ <= (100 - percent) * (sizes[:left, None] + sizes[None, :])
+    if left is None:
+        met = np.triu(met, 1)
+    else:
+        met[:, :left] = False
+    label = list(range(n))
+    for a, b in zip(*(x.tolist() for x in met.nonzero()), strict=True):
+        if label[a] != label[b]:
+            out.append((a, b))
+            old, new = label[b], label[a]
+            label = [new if x == old else x for x in label]
+    return out
+
+
 def _possible(percent: int):
     """possible_pairs() of each group in rows sorted by block, x and y, as pairs of classes."""
 
