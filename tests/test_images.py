@@ -102,7 +102,20 @@ def test_udfs_and_source(spark, tmp_path):
 
 
 def test_planted_copies_are_found(spark):
-    from textquarry.plans.registry import planted_recall
+    """In the seeded library every copy is within 8 bits; the query counts the same in the pictures of the pages."""
+    from pyspark.sql import functions as F
 
-    row = planted_recall(spark, "").first()
-    assert row["n"] == row["found"] == 5
+    from textquarry.operators.simhash import hamming
+    from textquarry.plans.registry import planted_recall
+    from textquarry.sources import datagen
+
+    def counted(rows):
+        prints = rows.select("img_id", "source", I.phash_udf("gray").alias("h")).toPandas().set_index("img_id")
+        pairs = [(h, prints["h"][int(s)]) for s, h in zip(prints["source"], prints["h"], strict=True) if s == s and s is not None]
+        return len(pairs), sum(((int(a) ^ int(b)) % (1 << 64)).bit_count() <= 8 for a, b in pairs)
+
+    assert counted(datagen.gray_library(spark, 500)) == (5, 5)
+    folder = "/root/testdata/sf0.001"
+    row = planted_recall(spark, folder).first()
+    assert (row["n"], row["found"]) == counted(datagen.page_grays(spark.read.parquet(f"{folder}/pages.parquet")))
+    assert spark.range(1).select(hamming(F.lit(5), F.lit(6))).first()[0] == 2

@@ -58,8 +58,8 @@ def dct_table() -> np.ndarray:
 
 def dct8x8(grays: np.ndarray) -> np.ndarray:
     """The 8 by 8 lowest frequencies of gray images of 32 by 32: rows of 1024 -> rows of 64."""
-    c = dct_table()[:8]
-    return np.einsum("jy,nyx,kx->njk", c, np.asarray(grays, np.float32).reshape(-1, SIDE, SIDE), c, optimize=True).reshape(-1, 64).astype(np.float32)
+    c = dct_table()[:8].astype(np.float64)
+    return np.einsum("jy,nyx,kx->njk", c, np.asarray(grays, np.float64).reshape(-1, SIDE, SIDE), c, optimize=True).reshape(-1, 64).astype(np.float32)
 
 
 def phash(grays: np.ndarray) -> np.ndarray:

@@ -84,7 +84,7 @@ def osa(a: Column, b: Column) -> Column:
 
 def may_match(query: Column, term: Column, edits: Column) -> Column:
     """Cheap and never wrong about a match: lengths, then Levenshtein, which is at most twice the distance."""
-    return (F.abs(F.length(query) - F.length(term)) <= edits) & (F.levenshtein(query, term, 4) >= 0)
+    return (F.abs(F.length(query) - F.length(term)) <= edits) & F.levenshtein(query, term, 4).between(0, 2 * edits)
 
 
 def deletions(term: Column, most: int) -> Column:
@@ -98,9 +98,9 @@ def deletions(term: Column, most: int) -> Column:
 
 # ---- hashing ----------------------------------------------------------------------------------------
 
-#: Offset basis of FNV-1a with 64 bits, and its prime 2**40 + 435.
+#: Offset basis of FNV-1a with 64 bits, and its prime, which is 2**40 + 435.
 FNV_OFFSET = 0xCBF29CE484222325
-FNV_PRIME = (1 << 40) + 435
+FNV_PRIME = 0x100000001B3
 
 
 def fnv1a64(term: Column) -> Column:

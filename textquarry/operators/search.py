@@ -52,15 +52,34 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), tokens.alias("tokens")).withColumn("dl", F.size("tokens"))
 
 
+def _counted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, dl, counts): counts are the row's distinct terms with their tf, found in the row itself by sorting."""
+
+    def runs_of(sorted_terms: Column) -> Column:
+        n = F.size(sorted_terms)
+        first = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (n > 0) & ((i == 0) | (F.get(sorted_terms, i) != F.get(sorted_terms, i - 1))))
+        return T.bind(first, lambda at: F.transform(at, lambda i, k: F.struct(F.get(sorted_terms, i).alias("term"), (F.coalesce(F.get(at, k + 1), n) - i).cast("long").alias("tf"))))
+
+    rows = token_counts(docs, id_col, text_col)
+    return rows.select("doc_id", "dl", T.bind(F.sort_array("tokens"), runs_of).alias("counts"))
+
+
+def _postings(counted: DataFrame) -> DataFrame:
+    return counted.select("doc_id", "dl", F.explode("counts").alias("c")).select("doc_id", "c.term", "c.tf", "dl")
+
+
 def term_frequency(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, term, tf, dl): a document's tokens meet in one task already, so partial counts are whole."""
-    rows = token_counts(docs, id_col, text_col).select("doc_id", "dl", F.explode("tokens").alias("term"))
-    return rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+    """(doc_id, term, tf, dl): each row is a document, whose terms are counted without a shuffle."""
+    return _postings(_counted(docs, id_col, text_col))
 
 
 def corpus_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row: documents (with or without tokens), tokens and mean length, 0 for no documents."""
-    rows = token_counts(docs, id_col, text_col).agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("n_tokens"))
+    return _stats(token_counts(docs, id_col, text_col))
+
+
+def _stats(lengths: DataFrame) -> DataFrame:
+    rows = lengths.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("n_tokens"))
     return rows.withColumn("avgdl", F.when(F.col("n_docs") > 0, F.col("n_tokens") / F.col("n_docs")).otherwise(0.0))
 
 
@@ -72,11 +91,11 @@ def vocabulary(postings: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> Index:
-    """keep: write postings and vocabulary to the shared folder, for more than one query."""
-    stats = corpus_stats(docs, id_col, text_col)
-    postings = term_frequency(docs, id_col, text_col)
+    """keep: write the documents' term counts and the vocabulary to the shared folder; texts are then tokenised once."""
+    counted = _counted(docs, id_col, text_col)
     if keep:
-        stats, postings = written(stats, "stats"), written(postings, "postings")
+        counted = written(counted, "counts")
+    stats, postings = _stats(counted), _postings(counted)
     words = vocabulary(postings, stats)
     return Index(postings, written(words, "vocabulary") if keep else words, stats)
 
@@ -135,7 +154,10 @@ def expand(index: Index, terms: DataFrame, *, cap: int = 2, broadcast_terms: boo
         left = asked.select("query_id", "qi", "query_term", "edits", F.explode(T.deletions(F.col("query_term"), cap)).alias("form"))
         right = words.select("term", "idf", F.explode(T.deletions(F.col("term"), cap)).alias("form"))
         near = left.join(right, "form").where(T.may_match(F.col("query_term"), F.col("term"), F.col("edits"))).drop("form").distinct()
-    distance = F.when(F.col("query_term") == F.col("term"), 0).otherwise(T.osa(F.col("query_term"), F.col("term")))
+    # up to 1 Levenshtein's distance is the same; above it a swap of neighbours may make the exact one smaller
+    plain, possible = F.levenshtein("query_term", "term"), T.may_match(F.col("query_term"), F.col("term"), F.col("edits"))
+    # the optimizer moves the filter below into the join's condition, in front of the others: so the cheap test comes first in here as well
+    distance = F.when(~possible, 1 << 20).when(plain <= 1, plain).otherwise(T.osa(F.col("query_term"), F.col("term")))
     near = near.select("query_id", "qi", "query_term", "term", "edits", "idf", distance.alias("distance"))
     return near.where("distance <= edits")
 
@@ -151,10 +173,11 @@ def scores(index: Index, matches: DataFrame, p: Bm25 = Bm25()) -> DataFrame:
     weighted = matches.select("query_id", "qi", "term", (F.col("idf").cast("double") * T.boost(F.col("distance"), F.col("edits"))).alias("weight"))
     hits = index.postings.join(weighted, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
     one = term_score(F.col("weight"), F.col("tf"), F.col("dl"), F.col("avgdl"), p).cast("float")
-    best = hits.select("query_id", "qi", "doc_id", one.alias("s")).groupBy("query_id", "doc_id", "qi").agg(F.max("s").alias("s"))
-    # a document has at most QUERY_TERMS rows per query here, so the ordered list is bounded
-    total = F.aggregate(F.array_sort(F.collect_list(F.struct("qi", "s"))), F.lit(0).cast("float"), lambda a, x: (a + x["s"]).cast("float"))
-    return best.groupBy("query_id", "doc_id").agg(total.alias("score")).where("score > 0")
+    # one exchange: a list holds at most a document's distinct terms for each term of the query
+    met = hits.select("query_id", "doc_id", F.struct("qi", one.alias("s")).alias("x")).groupBy("query_id", "doc_id").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    last = F.filter("xs", lambda x, i: F.coalesce(F.get(F.col("xs"), i + 1)["qi"] != x["qi"], F.lit(True)))
+    total = F.aggregate(last, F.lit(0).cast("float"), lambda a, x: (a + x["s"]).cast("float"))
+    return met.select("query_id", "doc_id", total.alias("score")).where("score > 0")
 
 
 def top_k(scored: DataFrame, k: int, limit: int = 256, id_col: str = "doc_id") -> DataFrame:

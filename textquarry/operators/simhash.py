@@ -9,6 +9,7 @@ pairs are pairs of classes.
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -35,22 +36,22 @@ class _Hashes(dict):
         return value
 
 
-def _fingerprints(lists: pd.Series) -> pd.Series:
-    known, out = _Hashes(), np.zeros(len(lists), np.uint64)
+def _fingerprints(lines: pd.Series) -> pd.Series:
+    """lines: tokens between blanks."""
+    known, out = _Hashes(), np.zeros(len(lines), np.uint64)
     weight = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    for k, tokens in enumerate(lists):
-        if tokens is None or not len(tokens):
-            continue
-        kinds, counts = np.unique(np.asarray(tokens, object).astype(str), return_counts=True)
-        total = counts @ np.array([known[t] for t in kinds.tolist()], np.int64)
-        out[k] = weight[total > 0].sum(dtype=np.uint64)
+    for k, line in enumerate(lines):
+        counts = Counter(line.split()) if line else None
+        if counts:
+            total = np.fromiter(counts.values(), np.int64, len(counts)) @ np.array(list(map(known.__getitem__, counts)), np.int64)
+            out[k] = weight[total > 0].sum(dtype=np.uint64)
     return pd.Series(out.view(np.int64))
 
 
 def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint): one pass without a shuffle; votes run on Arrow batches. A text without tokens gets 0."""
     vote = F.pandas_udf(_fingerprints, "bigint")
-    return docs.select(F.col(id_col).alias("doc_id"), vote(runs(F.col(text_col))).alias("fingerprint"))
+    return docs.select(F.col(id_col).alias("doc_id"), vote(F.array_join(runs(F.col(text_col)), " ")).alias("fingerprint"))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -73,10 +74,22 @@ def classes(prints: DataFrame) -> DataFrame:
     return prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
+def blocks_for(n: int, threshold: int, bucket: int = 16) -> int:
+    """The fewest blocks whose keys split n fingerprints into buckets of about `bucket`; at most three more than needed."""
+    for blocks in range(threshold + 1, threshold + 4):
+        if n >> (64 * (blocks - threshold) // blocks) < bucket:
+            break
+    return blocks
+
+
 def near_pairs(prints: DataFrame, threshold: int = 3, blocks: int | None = None) -> DataFrame:
-    """(a, b, distance): classes, by their smallest ids, whose fingerprints differ in 1 to threshold bits."""
-    reps = classes(prints)
-    keyed = reps.select("doc_id", "fingerprint", F.explode(F.array(*_keys(F.col("fingerprint"), threshold, blocks or threshold + 1))).alias("key"))
+    """(a, b, distance): classes, by their smallest ids, whose fingerprints differ in 1 to threshold bits.
+
+    The classes are written first: the self-join reads them twice. Without blocks their number sets the keys.
+    """
+    reps = written(classes(prints), "classes")
+    blocks = blocks or blocks_for(reps.count(), threshold)
+    keyed = reps.select("doc_id", "fingerprint", F.explode(F.array(*_keys(F.col("fingerprint"), threshold, blocks))).alias("key"))
     a, b = keyed.alias("a"), keyed.alias("b")
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id")))
     met = met.where(hamming(F.col("a.fingerprint"), F.col("b.fingerprint")) <= threshold)

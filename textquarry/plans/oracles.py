@@ -60,6 +60,33 @@ _NORMED = f"normed AS (SELECT vec_id, {_UNIT} AS v FROM (SELECT vec_id, embeddin
 _DOT = "list_sum(list_transform(list_zip(a.v, q.v), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
 _SLUG = "regexp_replace(regexp_replace(lower(coalesce({}, '')), '[^0-9a-z]+', '-', 'g'), '^-|-$', '', 'g')"
 
+_PLAIN = "coalesce(html, '')"
+for _tag in ("script", "style", "noscript", "nav", "header", "footer", "aside", "form", "head"):
+    _PLAIN = f"regexp_replace({_PLAIN}, '<{_tag}(\\s[^>]*)?>.*?</{_tag}>', '', 'gs')"
+_PLAIN = f"regexp_replace(regexp_replace({_PLAIN}, '<!--.*?-->', '', 'gs'), '<[^>]*>', '', 'g')"
+for _name, _char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("amp", "&")):
+    _PLAIN = f"replace({_PLAIN}, '&{_name};', '{_char}')"
+_PAGE_TEXT = f"left(trim(regexp_replace({_PLAIN}, '\\s+', ' ', 'g')), 8000)"
+
+_GRAYS = """
+px AS (
+  SELECT page_id AS img_id, k % 32 AS x, k // 32 AS y, CASE WHEN page_id % 7 = 6 THEN page_id - 1 ELSE page_id END AS b,
+    CASE WHEN page_id % 7 = 6 THEN (k * 5 + page_id) % 3 - 1 ELSE 0 END AS noise FROM pages, range(1024) AS t(k)),
+grays AS (SELECT img_id, x, y, greatest((x * (1 + b % 7) + y * (1 + b % 5) + (x * y * (1 + b % 11)) % 37 + ((x + b) * (y + 3 * b)) % (29 + b % 13)) % 256 + noise, 0)::DOUBLE AS g FROM px),
+waves AS (SELECT j, n, (CASE WHEN j = 0 THEN sqrt(1 / 32) ELSE sqrt(2 / 32) END * cos(pi() * (2 * n + 1) * j / 64))::FLOAT::DOUBLE AS c FROM range(8) AS a(j), range(32) AS b(n)),
+across AS (SELECT img_id, y, j AS k, sum(g * c) AS s FROM grays JOIN waves ON n = x GROUP BY ALL),
+coefs AS (SELECT img_id, j * 8 + k AS i, sum(s * c)::FLOAT AS c FROM across JOIN waves ON n = y GROUP BY ALL),
+middle AS (SELECT img_id, (((list(c ORDER BY c))[32]::DOUBLE + (list(c ORDER BY c))[33]::DOUBLE) / 2)::FLOAT AS m FROM coefs GROUP BY img_id),
+prints AS (SELECT img_id AS doc_id, coalesce(sum(CASE WHEN c > m THEN (1::UBIGINT << i::UBIGINT)::HUGEINT ELSE 0 END), 0)::UBIGINT AS fp FROM coefs JOIN middle USING (img_id) GROUP BY img_id)"""
+_GROUPED = """
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM reps UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a AS doc_id, min(b) AS group_id FROM reach GROUP BY a),
+labelled AS (SELECT fp, copies, group_id FROM reps JOIN least USING (doc_id)),
+sizes AS (SELECT group_id, sum(copies)::BIGINT AS size FROM labelled GROUP BY group_id HAVING sum(copies) >= 2)
+SELECT group_id, size, doc_id FROM prints JOIN labelled USING (fp) JOIN sizes USING (group_id)"""
+_BLURRED = "greatest(0, least(255, (list_sum(list_transform(range(33), lambda t: taps[t + 1] * line[greatest(0, least(31, p + t - 16)) + 1]))::BIGINT * reciprocal) >> 16))"
+
 STATIC: dict[str, str] = {
     "tokens_per_doc": f"SELECT doc_id, len({TOKENS})::INT AS n_tokens FROM documents",
     "term_frequency": f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY doc_id, term",
@@ -70,13 +97,45 @@ STATIC: dict[str, str] = {
     "simhash_fingerprint": f"WITH {_PRINTS} SELECT doc_id, '0x' || lpad(lower(to_hex(fp)), 16, '0') AS fingerprint FROM prints",
     "simhash_pairs": f"WITH {_PRINTS} SELECT a, b, distance FROM pairs",
     "simhash_first_pairs": f"WITH {_PRINTS} SELECT a, b, distance FROM pairs ORDER BY a, b LIMIT 12",
-    "simhash_groups": f"""WITH RECURSIVE {_PRINTS},
-links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
-reach AS (SELECT doc_id AS a, doc_id AS b FROM reps UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
-least AS (SELECT a AS doc_id, min(b) AS group_id FROM reach GROUP BY a),
-labelled AS (SELECT fp, copies, group_id FROM reps JOIN least USING (doc_id)),
-sizes AS (SELECT group_id, sum(copies)::BIGINT AS size FROM labelled GROUP BY group_id HAVING sum(copies) >= 2)
-SELECT group_id, size, doc_id FROM prints JOIN labelled USING (fp) JOIN sizes USING (group_id)""",
+    "simhash_groups": f"WITH RECURSIVE {_PRINTS}, {_GROUPED}",
+    "dct8x8": f"WITH {_GRAYS} SELECT img_id, i::INT AS i, round(c::DOUBLE, 2) + 0.0 AS coefficient FROM coefs",
+    "phash": f"WITH {_GRAYS} SELECT doc_id AS img_id, '0x' || lpad(lower(to_hex(fp)), 16, '0') AS hash FROM prints",
+    "phash_groups": f"""WITH RECURSIVE {_GRAYS},
+reps AS (SELECT fp, min(doc_id) AS doc_id, count(*) AS copies FROM prints GROUP BY fp),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM reps a JOIN reps b ON a.doc_id < b.doc_id WHERE bit_count(xor(a.fp, b.fp)) <= 8), {_GROUPED}""",
+    "planted_recall": f"""WITH {_GRAYS}
+SELECT count(*) AS n, count(*) FILTER (WHERE bit_count(xor(a.fp, b.fp)) <= 8) AS found FROM prints a JOIN prints b ON b.doc_id = a.doc_id - 1 WHERE a.doc_id % 7 = 6""",
+    "gaussian_blur": f"""WITH raw AS (SELECT list(exp(-(k * k) / 128) ORDER BY k) AS r FROM range(-16, 17) AS t(k)),
+taps AS (SELECT list_transform(r, lambda v: floor(v / list_sum(r) * 4096 + 0.5)::BIGINT) AS taps FROM raw),
+weights AS (SELECT taps, floor(65536 / list_sum(taps) + 0.5)::BIGINT AS reciprocal FROM taps),
+px AS (
+  SELECT page_id AS i, k % 4 AS c, (k // 4) % 32 AS x, k // 128 AS y FROM pages, range(4096) AS t(k)),
+lines AS (SELECT i, c, y, list(CASE WHEN c = 3 THEN 255 ELSE (x * (1 + i % 5) + y * (1 + i % 3) + 40 * c + i) // 8 * 8 % 256 END ORDER BY x) AS line FROM px GROUP BY i, c, y),
+wide AS (SELECT i, c, y, list_transform(range(32), lambda p: {_BLURRED}) AS v FROM lines, weights),
+columns_ AS (SELECT i, c, x, list(v[x + 1] ORDER BY y) AS line FROM wide, range(32) AS t(x) GROUP BY i, c, x),
+high AS (SELECT i, c, x, list_transform(range(32), lambda p: {_BLURRED}) AS v FROM columns_, weights),
+bytes AS (SELECT i, string_agg(printf('%02x', v[y + 1]::INT), '' ORDER BY y, x, c) AS h FROM high, range(32) AS t(y) GROUP BY i)
+SELECT i AS img_id, sha256(unhex(h)) AS sha256 FROM bytes""",
+    "page_text": f"SELECT page_id, {_PAGE_TEXT} AS text FROM pages",
+    "page_prompt": f"""WITH t AS (SELECT page_id, {_PAGE_TEXT} AS text FROM pages)
+SELECT page_id, '[{{"role":"system","content":"Answer from the page."}},{{"role":"user","content":' || to_json(CASE WHEN text = '' THEN 'There is no readable page content to work with.' ELSE 'PAGE CONTENT:' || chr(10) || text || chr(10) || chr(10) || 'TASK:' || chr(10) || 'Summarise the page.' END) || '}}]' AS messages FROM t""",
+    "page_links": """WITH l AS (SELECT page_id, regexp_extract_all(html, '<a [^>]*href="([^"]+)"', 1) AS links, regexp_extract_all(html, '<img [^>]*src="([^"]+)"', 1) AS images FROM pages),
+n AS (SELECT page_id, len(links) AS k, list_concat(links, images) AS urls FROM l)
+SELECT page_id, i::INT AS n, CASE WHEN i < k THEN 'link' ELSE 'image' END AS kind, urls[i + 1] AS url FROM n, range(len(urls)) AS t(i)""",
+    "page_metadata": "SELECT page_id, 'page' AS name, page_id || ', ' || page_id AS content FROM pages UNION ALL SELECT page_id, 'og:url', url FROM pages",
+    "url_params": """SELECT page_id, '{' || array_to_string(list_transform(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> ''),
+  lambda p: to_json(url_decode(split_part(p, '=', 1))) || ':' || to_json(url_decode(split_part(p, '=', 2)))), ',') || '}' AS params FROM pages""",
+    "image_variants": """WITH p AS (SELECT page_id, split_part(url || '/pic.png', '?', 1) AS path FROM pages),
+k AS (SELECT page_id, path, unnest(['webply', regexp_extract(path, '\\.([^./]+)$', 1)]) AS type FROM p)
+SELECT page_id, media, type, path || '?width=' || width || '&format=' || type || '&optimize=medium' AS url FROM k, (VALUES ('(min-width: 600px)', 2000), ('', 750)) AS b(media, width)""",
+    "block_config": f"""SELECT n_regionkey AS block_id, '{{' || string_agg('"' || k || '":["' || n_nationkey || '","' || n_name || '"]', ',' ORDER BY k) || '}}' AS config
+FROM (SELECT *, {_SLUG.format("n_name")} AS k FROM nation) GROUP BY n_regionkey""",
+    "subsequence_score_topk": """WITH chars AS (SELECT doc_id, list_filter(string_split(lower(coalesce(text, '')), ''), lambda c: c <> '') AS cs FROM documents),
+walked AS (SELECT doc_id, list_reduce(list_transform(cs, lambda c, k: {'at': 1, 'run': 0, 'score': 0.0::DOUBLE, 'c': c, 'i': k - 1, 'n': len(cs)}), lambda s, e:
+    CASE WHEN s.at <= 7 AND 'thering'[s.at] = e.c
+    THEN {'at': s.at + 1, 'run': s.run + 1, 'score': s.score + (1.0::DOUBLE + s.run * 2 + CASE WHEN e.i = 0 THEN 3 WHEN regexp_matches(s.c, '[ \\-/_.,:(]') THEN 2 ELSE 0 END + (e.n - e.i) / e.n::DOUBLE), 'c': e.c, 'i': e.i, 'n': e.n}
+    ELSE {'at': s.at, 'run': 0, 'score': s.score, 'c': e.c, 'i': e.i, 'n': e.n} END, {'at': 1, 'run': 0, 'score': 0.0::DOUBLE, 'c': '', 'i': 0, 'n': 0}) AS s FROM chars)
+SELECT doc_id, round(s.score, 6) AS score FROM walked WHERE s.at > 7 AND s.score > 0 ORDER BY 2 DESC, 1 LIMIT 10""",
     "vector_normalize": f"WITH {_NORMED} SELECT vec_id, list_transform(v, lambda x: round(x::DOUBLE, 4) + 0.0) AS embedding FROM normed",
     "cosine_scores": f"WITH {_NORMED} SELECT q.vec_id AS query_id, a.vec_id, round({_DOT}, 5) + 0.0 AS score FROM normed a, normed q WHERE q.vec_id IN (0, 1, 7)",
     "cosine_scores_by_hundreds": f"WITH {_NORMED} SELECT q.vec_id AS query_id, a.vec_id, round({_DOT}, 5) + 0.0 AS score FROM normed a, normed q WHERE q.vec_id % 100 = 0",

@@ -16,7 +16,7 @@ from textquarry.operators import vectors as V
 from textquarry.operators.components import connected_components
 from textquarry.plans import oracles
 from textquarry.sources import datagen, files
-from textquarry.sources.shared import read_table
+from textquarry.sources.shared import read_table, written
 from textquarry.streaming import chunks as C
 
 #: The phrases of the search queries.
@@ -139,7 +139,10 @@ def page_links(spark, d):
 
 
 def page_metadata(spark, d):
-    return P.page_metadata(read_table(spark, d, "pages"))
+    """The pages name nothing, so each gets its address and, twice, its number put before it."""
+    number = F.concat(F.lit('<meta name="page" content="'), F.col("page_id").cast("string"), F.lit('">'))
+    address = F.concat(F.lit('<meta property="og:url" content="'), F.regexp_replace("url", "&", "&amp;"), F.lit('">'))
+    return P.page_metadata(read_table(spark, d, "pages").select("page_id", F.concat(number, address, number, F.col("html")).alias("html")))
 
 
 def url_parts(spark, d):
@@ -210,33 +213,37 @@ def result_list(spark, d):
     return files.results(hits, docs.select("doc_id", F.col("source").alias("path"), F.col("lang").alias("title"))).drop("description")
 
 
+def _grays(spark, d) -> DataFrame:
+    return datagen.page_grays(read_table(spark, d, "pages"))
+
+
 def dct8x8(spark, d):
-    return datagen.gray_library(spark, 500).select("img_id", I.dct_udf("gray").alias("coefficients"))
+    rows = _grays(spark, d).select("img_id", F.posexplode(I.dct_udf("gray")).alias("i", "c"))
+    return rows.select("img_id", "i", (F.round(F.col("c").cast("double"), 2) + 0.0).alias("coefficient"))
 
 
 def phash(spark, d):
-    return datagen.gray_library(spark, 500).select("img_id", T.fingerprint_hex(I.phash_udf("gray")).alias("hash"))
+    return _grays(spark, d).select("img_id", T.fingerprint_hex(I.phash_udf("gray")).alias("hash"))
 
 
 def phash_groups(spark, d):
-    prints = datagen.gray_library(spark, 500).select(F.col("img_id").alias("doc_id"), I.phash_udf("gray").alias("fingerprint"))
+    prints = _grays(spark, d).select(F.col("img_id").alias("doc_id"), I.phash_udf("gray").alias("fingerprint"))
     return H.groups(prints, 8)
 
 
 def gaussian_blur(spark, d):
-    rows = datagen.rgba_images(spark, 4, 64)
+    rows = datagen.page_rgba(read_table(spark, d, "pages"))
     return rows.select("img_id", F.sha2(I.blur_udf("data", "width", "height", F.lit(16)), 256).alias("sha256"))
 
 
 def png_encode(spark, d):
-    rows = datagen.rgba_images(spark, 4, 64).select("img_id", "width", "height", I.png_udf("data", "width", "height").alias("png"))
+    rows = datagen.page_rgba(read_table(spark, d, "pages")).select("img_id", "width", "height", I.png_udf("data", "width", "height").alias("png"))
     return rows.select("img_id", F.length("png").alias("bytes"), F.round(F.col("width") * F.col("height") * 4 / F.length("png"), 4).alias("ratio"), F.sha2("png", 256).alias("sha256"))
 
 
 def planted_recall(spark, d):
     """Planted near copies that the perceptual hash finds within 8 bits."""
-    rows = datagen.gray_library(spark, 500)
-    prints = rows.select("img_id", "source", I.phash_udf("gray").alias("h"))
+    prints = written(_grays(spark, d).select("img_id", "source", I.phash_udf("gray").alias("h")), "prints")
     pairs = prints.where("source is not null").join(prints.select(F.col("img_id").alias("source"), F.col("h").alias("g")), "source")
     return pairs.agg(F.count("*").alias("n"), F.count_if(H.hamming(F.col("h"), F.col("g")) <= 8).alias("found"))
 

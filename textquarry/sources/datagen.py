@@ -133,6 +133,39 @@ def rgba_images(spark: SparkSession, count: int, side: int, seed: int = 0xA11CE)
     return _rows(spark, count, make, "img_id bigint, width int, height int, data binary")
 
 
+#: Of so many page images the last is a near copy of the one before it.
+COPY_EVERY = 7
+
+
+def page_grays(pages: DataFrame, side: int = 32) -> DataFrame:
+    """(img_id, gray, source): a picture for each page from its id alone; every COPY_EVERY-th is its source, the one before it, with noise of 1."""
+    i = F.col("page_id")
+    copy = i % COPY_EVERY == COPY_EVERY - 1
+    rows = pages.select(i.alias("img_id"), F.when(copy, i - 1).alias("source"), F.when(copy, i - 1).otherwise(i).alias("b"))
+    b = F.col("b")
+
+    def pixel(k):
+        x, y = k % side, F.floor(k / side)
+        wave = x * (1 + b % 7) + y * (1 + b % 5) + (x * y * (1 + b % 11)) % 37 + ((x + b) * (y + 3 * b)) % (29 + b % 13)
+        noise = F.when(F.col("source").isNull(), 0).otherwise((k * 5 + F.col("img_id")) % 3 - 1)
+        return F.greatest(wave % 256 + noise, F.lit(0)).cast("float")
+
+    return rows.select("img_id", F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), pixel).alias("gray"), "source")
+
+
+def page_rgba(pages: DataFrame, side: int = 32) -> DataFrame:
+    """(img_id, width, height, data): opaque steps of colour for each page from its id alone."""
+    i = F.col("page_id")
+
+    def channel(k):
+        c, x, y = k % 4, F.floor(k / 4) % side, F.floor(k / (4 * side))
+        step = F.floor((x * (1 + i % 5) + y * (1 + i % 3) + 40 * c + i) / 8) * 8 % 256
+        return F.lpad(F.hex(F.when(c == 3, 255).otherwise(step)), 2, "0")
+
+    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(4 * side * side - 1)), channel), ""))
+    return pages.select(i.alias("img_id"), F.lit(side).alias("width"), F.lit(side).alias("height"), data.alias("data"))
+
+
 def event_streams(conversations: DataFrame, size: int = 40) -> DataFrame:
     """(stream_id, seq, chunk): the assistant texts of each conversation as server-sent events cut every `size` characters."""
     line = lambda t: F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(t.alias("content")).alias("delta"))).alias("choices"))), F.lit("\n"))

@@ -13,13 +13,17 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table of a data folder."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One table of a data folder; rows of fewer files than there are cores are dealt out, for a file may be one split only."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; LOCAL_CHECKPOINTS if that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
+    """The folder named by spark.checkpoint.dir; where that is unset LOCAL_CHECKPOINTS, on one machine only."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or LOCAL_CHECKPOINTS).rstrip("/")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
