@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no shared folder, which is so in tests on one machine.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: A table of fewer files is small enough to be shuffled whole.
+FEW_FILES = 8
 #: While a table is written: its shuffle files go as soon as it is done, not when the driver next collects garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table of a data folder; rows of fewer files than there are cores are dealt out, for a file may be one split only."""
+    """One table of a data folder; one of a few files is dealt out to all cores, for a file may be one split only."""
     df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < min(cores, FEW_FILES) else df
 
 
 def shared_dir(spark: SparkSession) -> str:
