@@ -3,13 +3,13 @@
 Overlapping heuristic labellers vote good, bad or nothing on each document. Expectation-maximisation over
 the table of vote patterns (at most 3 to the number of labellers rows, counted over all documents)
 estimates how accurate each labeller is and the posterior of every pattern, without any gold label. The
-posteriors label a bounded sample, at most `most_rows` documents with the smallest hash of their text, on
-which a linear scorer over hashed features is fitted. The scorer then scores every document; it reads
+posteriors label a bounded sample, at most `most_rows` different texts with the smallest hashes, of which only votes
+and hashed features (2**16 at most) reach the driver, where a linear scorer over them is fitted. The scorer then scores every document; it reads
 what the labellers do not look at, so it also judges where they are silent.
 
 Defined results
     null or empty text: all labellers silent, score from the intercept and the empty-text feature alone. Null or repeated ids:
-    each row is scored. Empty table: no rows. If all documents get the same votes, all get the prior's score.
+    each row is scored; copies of a text are one row of the sample. Empty table: no rows. If all documents get the same votes, all get the prior's score.
     Other columns are neither read nor returned.
 """
 
@@ -155,6 +155,16 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, st
     return w
 
 
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = Features()
+    for batch in batches:
+        texts = [t.as_py() for t in batch.column(2)]
+        said = ["".join("-0+"[v + 1] for v in votes(t)) for t in texts]
+        found = [known.of(t) for t in texts]
+        cols = [batch.column(0), batch.column(1), pa.array(said, pa.string()), *(pa.array([f[k].tobytes() for f in found], pa.binary()) for k in (0, 1))]
+        yield pa.RecordBatch.from_arrays(cols, names=["key", "hash", "votes", "index", "value"])
+
+
 def fit(docs: DataFrame, *, text_col: str = "text", most_rows: int = 4000) -> np.ndarray:
     """Weights of the scorer."""
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
@@ -170,18 +180,20 @@ def fit(docs: DataFrame, *, text_col: str = "text", most_rows: int = 4000) -> np
     if not patterns:
         return np.zeros((1 << FEATURE_BITS) + 1)
     posterior, _, good = estimate(patterns)
-    total = sum(patterns.values())
-    # a hash under a bound that lets about most_rows rows pass; the few over it are cut off in hash order
-    share = min(1.0, most_rows / total)
-    key = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    chosen = texts.where(key < int(share * (1 << 30)) + 1).orderBy(key).limit(most_rows).toArrow().column(0).to_pylist()
-    chosen = list(dict.fromkeys(chosen))
-    known, target = Features(), np.array([posterior.get(votes(t), good) for t in chosen])
-    if len(chosen) < 2 or target.max() - target.min() < 1e-6:
+    # a hash under a bound that lets somewhat more than most_rows different texts pass; those over it are cut off in hash order
+    hashed = texts.withColumn("hash", F.xxhash64("text")).withColumn("key", F.pmod("hash", F.lit(1 << 30)))
+    different = hashed.agg(F.approx_count_distinct("hash")).first()[0]
+    share = min(1.0, 1.2 * most_rows / max(1, different))
+    some = hashed.where(F.col("key") < int(share * (1 << 30)) + 1).dropDuplicates(["hash"]).select("key", "hash", "text")
+    chosen = some.mapInArrow(_sampled, "key bigint, hash bigint, votes string, index binary, value binary").orderBy("key", "hash").limit(most_rows).toArrow()
+    said = chosen.column("votes").to_pylist()
+    rows = [(np.frombuffer(i, np.int64), np.frombuffer(v, np.float64)) for i, v in zip(chosen.column("index").to_pylist(), chosen.column("value").to_pylist(), strict=True)]
+    target = np.array([posterior.get(read(s), good) for s in said])
+    if len(rows) < 2 or target.max() - target.min() < 1e-6:
         w = np.zeros((1 << FEATURE_BITS) + 1)
         w[-1] = np.log(good / (1 - good))
         return w
-    return fit_scorer([known.of(t) for t in chosen], target)
+    return fit_scorer(rows, target)
 
 
 def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", weights: np.ndarray | None = None, most_rows: int = 4000) -> DataFrame:
