@@ -81,7 +81,7 @@ def test_keep_one(spark):
     assert P.keep_one(empty_documents(spark)).count() == 0
 
 
-def test_one_large_group_of_near_copies(spark):
+def test_one_large_group_of_near_copies(spark, monkeypatch):
     """A chain of edits: neighbours are similar, far ones are not; most of the table is one component."""
     rng = random.Random(8)
     w = [f"w{rng.randint(0, 900)}" for _ in range(60)]
@@ -93,6 +93,7 @@ def test_one_large_group_of_near_copies(spark):
     expected = brute(rows, 1, 80)
     assert len({c for _, _, c, _ in expected}) < 40
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    monkeypatch.setattr(P, "_PORTION_FEATURES", 500)
     got = P.jaccard_components(df, shingle=1, percent=80, block=16, division=200).collect()
     assert sorted((tuple(r) for r in got), key=str) == expected
     kept = {r["doc_id"] for r in P.keep_one(df, shingle=1, percent=80, block=16, division=200).collect()}

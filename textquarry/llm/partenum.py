@@ -65,6 +65,8 @@ DENSITY = 2.0
 DIVISION_FEATURES = 1 << 20
 #: Sets of a group whose sketches are compared all at once.
 _SMALL = 48
+#: Features of the sets that one task compares with a block's reference.
+_PORTION_FEATURES = 1 << 16
 #: Bytes of sketches of one division.
 _DIVISION_SKETCHES = 8 << 20
 
@@ -459,9 +461,9 @@ def _components(close: DataFrame) -> DataFrame:
     return connected_components(close).select(F.col("node").alias("class"), F.col("component").alias("block"))
 
 
-def _differences(source: DataFrame, wanted: DataFrame, shingle: int, percent: int, division: int) -> DataFrame:
+def _differences(source: DataFrame, wanted: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(block, class, copies, n, near, features) of the wanted classes: features is the difference from the block's reference."""
-    whole = wanted.groupBy("block").agg(F.min("class").alias("reference"), F.ceil(F.sum("n_shingles") / division).alias("portions"))
+    whole = wanted.groupBy("block").agg(F.min("class").alias("reference"), F.ceil(F.sum("n_shingles") / _PORTION_FEATURES).alias("portions"))
     placed = wanted.join(whole, "block").withColumn("leads", F.col("class") == F.col("reference"))
     portion = F.when(F.col("leads"), F.sequence(F.lit(0), F.col("portions") - 1)).otherwise(F.array(F.pmod(F.xxhash64("class"), F.col("portions"))))
     packed = source.mapInArrow(_packed(Filter(wanted).test()), "id bigint, text_hash bigint, packed binary")
@@ -518,7 +520,7 @@ def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     apart = _components(_close(told, percent, block)).join(wanted.where("large").drop("block"), "class")
     wanted = written(wanted.where("not large").unionByName(apart).drop("sketch", "fine", "large"), "wanted")
 
-    compared = _linked(_differences(source, wanted, shingle, percent, division), percent, count_links, block, division)
+    compared = _linked(_differences(source, wanted, shingle, percent), percent, count_links, block, division)
 
     reached = connected_components(compared.where("a <> b")).select(F.col("node").alias("class"), "component")
     links = compared.where("a = b").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
