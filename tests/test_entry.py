@@ -18,7 +18,7 @@ def test_entry(spark):
 
 
 @pytest.mark.skipif(not os.path.exists(entry.SMOKE_DIR), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["tokens_per_doc", "corpus_stats", "slugify", "url_parts", "chunk_fold", "rum_weighted_counts", "latest_value", "cosine_scores"])
+@pytest.mark.parametrize("name", ["tokens_per_doc", "corpus_stats", "slugify", "url_parts", "chunk_fold", "rum_weighted_counts", "latest_value", "truncation_delta", "term_ids", "longest_document", "first_documents", "fuzziness_agreement", "planted_bits", "stream_usage"])
 def test_sql_twins(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
@@ -35,6 +35,6 @@ def test_sql_twins(spark, name):
 @pytest.mark.skipif(not os.path.exists(entry.SMOKE_DIR), reason="needs the driver's tables")
 def test_every_hundredth_vector_is_a_query(spark):
     ids = [r[0] for r in spark.read.parquet(f"{entry.SMOKE_DIR}/embeddings.parquet").select("vec_id").collect()]
-    rows = registry.QUERIES["cosine_scores_by_hundreds"](spark, entry.SMOKE_DIR).select("query_id", "vec_id").collect()
+    rows = registry.QUERIES["cosine_scores"](spark, entry.SMOKE_DIR).select("query_id", "vec_id").collect()
     assert len(rows) == len(set(rows)) and {tuple(r) for r in rows} == {(q, i) for q in ids if q % 100 == 0 for i in ids}
-    test_sql_twins(spark, "cosine_scores_by_hundreds")
+    test_sql_twins(spark, "cosine_scores")

@@ -111,3 +111,47 @@ def test_generators_do_not_depend_on_partitions(spark):
     assert len(datagen.document(1, 50).split()) >= 48
     turns = spark.createDataFrame([(1, 1, "assistant", "Héllo\n\"x\""), (1, 3, "assistant", " you"), (1, 2, "user", "q")], "conv_id bigint, turn bigint, role string, text string")
     assert C.fold_events(datagen.event_streams(turns, 5)).first()["text"] == 'Héllo\n"x" you'
+
+
+class _Speaker(C.Provider):
+    name = "speaker"
+
+    def __init__(self, chunks):
+        self.chunks, self.asked = chunks, []
+
+    def detect(self):
+        self.asked.append(1)
+        return len(self.asked) > 2, "not yet"
+
+    def run(self, prompt):
+        self.prompt = prompt
+        for c in self.chunks:
+            if isinstance(c, Exception):
+                raise c
+            yield c
+
+
+def test_answers_end_in_three_ways():
+    speaker = _Speaker(["a", "b"])
+    assert C.answer(speaker, "x") == ("ab", "done") and not hasattr(speaker, "prompt")
+    assert C.answer(_Speaker(["a", C.Interrupted()]), "x") == ("a", "stopped")
+    assert C.answer(_Speaker(["a", ValueError("no")]), "x") == ("a", "failed: no")
+    said = iter([False, True])
+    assert C.answer(speaker, "x", lambda: next(said)) == ("a", "stopped")
+
+
+def test_consent_retries_and_servers():
+    fetched = C.EchoProvider()
+    fetched.is_download = True
+    assert C.first_usable([C.Provider(), fetched], consent=False) == (None, "no provider")
+    assert C.first_usable([fetched], "builtin", consent=False)[0] is fetched
+    assert C.first_usable([_Speaker([])], "speaker", retries=1) == (None, "not yet")
+    assert C.first_usable([_Speaker([])], "speaker", retries=2)[1] == ""
+    server = C.ServerProvider(lambda: ["small", "large"], lambda model, prompt: iter([model, prompt]), "large")
+    assert C.first_usable([server])[0] is server and C.answer(server, "?") == ("large?", "done")
+    assert C.ServerProvider(lambda: [], None).detect() == (False, "server has no models")
+
+    def refuse():
+        raise OSError("refused")
+
+    assert C.ServerProvider(refuse, None).detect() == (False, "server not reached: refused")

@@ -116,6 +116,33 @@ def postings_offsets(index: Index) -> DataFrame:
     return rows.select("term", "df", (F.col("base") + F.col("upto") - F.col("df")).alias("first"), (F.col("base") + F.col("upto")).alias("end"))
 
 
+def term_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(term, term_id): terms numbered from 0 by their first occurrence, documents in the order of their ids.
+
+    Of each document only the first place of a term is shuffled. Numbers are given within ranges of first
+    occurrences and carried over ranges, never in one task.
+    """
+    words = token_counts(docs, id_col, text_col).select("doc_id", F.posexplode("tokens").alias("at", "term"))
+    first = words.groupBy("term").agg(F.min(F.struct("doc_id", "at")).alias("first"))
+    ranged = written(first.repartitionByRange("first").withColumn("part", F.spark_partition_id()), "first")
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("size"))
+    # one row for each range
+    over = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("part", F.coalesce(F.sum("size").over(over), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("part").orderBy("first")
+    return ranged.withColumn("nth", F.row_number().over(inside)).join(before, "part").select("term", (F.col("base") + F.col("nth") - 1).alias("term_id"))
+
+
+def longest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row: the tokens of the longest document, 0 for no documents."""
+    return token_counts(docs, id_col, text_col).agg(F.coalesce(F.max("dl"), F.lit(0)).alias("max_tokens"))
+
+
+def first_rows(docs: DataFrame, n: int, id_col: str = "doc_id") -> DataFrame:
+    """The n documents of the smallest ids; null ids come first. Each task sends n at most."""
+    return docs.orderBy(id_col).limit(n)
+
+
 # ---- queries ----------------------------------------------------------------------------------------
 
 

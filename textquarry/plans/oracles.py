@@ -137,12 +137,26 @@ walked AS (SELECT doc_id, list_reduce(list_transform(cs, lambda c, k: {'at': 1,
     ELSE {'at': s.at, 'run': 0, 'score': s.score, 'c': e.c, 'i': e.i, 'n': e.n} END, {'at': 1, 'run': 0, 'score': 0.0::DOUBLE, 'c': '', 'i': 0, 'n': 0}) AS s FROM chars)
 SELECT doc_id, round(s.score, 6) AS score FROM walked WHERE s.at > 7 AND s.score > 0 ORDER BY 2 DESC, 1 LIMIT 10""",
     "vector_normalize": f"WITH {_NORMED} SELECT vec_id, list_transform(v, lambda x: round(x::DOUBLE, 4) + 0.0) AS embedding FROM normed",
-    "cosine_scores": f"WITH {_NORMED} SELECT q.vec_id AS query_id, a.vec_id, round({_DOT}, 5) + 0.0 AS score FROM normed a, normed q WHERE q.vec_id IN (0, 1, 7)",
-    "cosine_scores_by_hundreds": f"WITH {_NORMED} SELECT q.vec_id AS query_id, a.vec_id, round({_DOT}, 5) + 0.0 AS score FROM normed a, normed q WHERE q.vec_id % 100 = 0",
+    "cosine_scores": f"WITH {_NORMED} SELECT q.vec_id AS query_id, a.vec_id, round({_DOT}, 5) + 0.0 AS score FROM normed a, normed q WHERE q.vec_id % 100 = 0",
     "knn_topk": """WITH normed AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings),
 scored AS (SELECT q.vec_id AS query_id, a.vec_id, round(list_sum(list_transform(list_zip(a.embedding, q.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / (a.n * q.n), 5) + 0.0 AS score
   FROM normed a, normed q WHERE q.vec_id % 100 = 0 AND a.vec_id <> q.vec_id)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 8""",
+    "truncation_delta": f"""WITH {_NORMED},
+short AS (SELECT vec_id, {_UNIT} AS v FROM (SELECT vec_id, e AS embedding, sqrt(list_sum(list_transform(e, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM (SELECT vec_id, embedding[1:32] AS e FROM embeddings))),
+scored AS (SELECT q.vec_id AS query_id, a.vec_id, round({_DOT}, 5) AS s FROM normed a, normed q WHERE q.vec_id % 100 = 0 AND a.vec_id <> q.vec_id),
+near AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) <= 8),
+cut AS (SELECT s, round({_DOT}, 5) AS t FROM near JOIN short a ON a.vec_id = near.vec_id JOIN short q ON q.vec_id = near.query_id)
+SELECT count(*) AS n, 0::BIGINT AS n_unmatched, count(*) FILTER (WHERE s <> t) AS n_different, round(max(abs(s - t)), 4) AS max_delta FROM cut""",
+    "term_ids": f"""WITH w AS (SELECT doc_id, {TOKENS} AS w FROM documents),
+first AS (SELECT term, min((doc_id, i)) AS f FROM (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM w) GROUP BY term)
+SELECT term, row_number() OVER (ORDER BY f) - 1 AS term_id FROM first""",
+    "longest_document": f"SELECT coalesce(max(len({TOKENS})), 0)::INT AS max_tokens FROM documents",
+    "first_documents": "SELECT doc_id, length(coalesce(text, ''))::INT AS n_chars FROM documents ORDER BY doc_id LIMIT 50",
+    "planted_bits": f"""WITH {_GRAYS}
+SELECT count(*) AS n, 0::BIGINT AS n_unmatched, count(*) FILTER (WHERE a.fp <> b.fp) AS n_different, round(avg(bit_count(xor(a.fp, b.fp))), 6) AS mean_bits FROM prints a JOIN prints b ON b.doc_id = a.doc_id - 1 WHERE a.doc_id % 7 = 6""",
+    "stream_usage": """SELECT stream_id, usage, CASE WHEN coalesce(usage, 0) = 0 THEN 'Done' ELSE 'Done · ' || usage || ' tokens/s' END AS status
+FROM (SELECT conv_id AS stream_id, arg_max(length(coalesce(text, '')), turn) FILTER (WHERE turn % 2 = 1)::INT AS usage FROM conversations GROUP BY conv_id)""",
     "slugify": f"""SELECT page_id, slug, array_to_string(list_transform(string_split(slug, '-'), lambda w, i: CASE WHEN i > 1 AND regexp_matches(w, '^[a-z]') THEN upper(w[1]) || w[2:] WHEN i > 1 THEN '-' || w ELSE w END), '') AS camel
 FROM (SELECT page_id, {_SLUG.format("url")} AS slug FROM pages)""",
     "url_parts": """SELECT page_id, CASE WHEN len(p) > 1 THEN array_to_string(p[1:len(p) - 1], '/') ELSE '' END AS path, coalesce(regexp_replace(p[len(p)], '\\.[^.]*$', ''), '') AS name,

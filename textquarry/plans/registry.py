@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textquarry.functions import images as I
 from textquarry.functions import pages as P
 from textquarry.functions import text as T
+from textquarry.operators import compare as M
 from textquarry.operators import search as S
 from textquarry.operators import simhash as H
 from textquarry.operators import vectors as V
@@ -107,13 +108,6 @@ def vector_normalize(spark, d):
 
 
 def cosine_scores(spark, d):
-    corpus = read_table(spark, d, "embeddings")
-    scored = V.cosine_scores(corpus, corpus.where(F.col("vec_id").isin(0, 1, 7)))
-    return scored.select("query_id", "vec_id", (F.round("score", 5) + 0.0).alias("score"))
-
-
-def cosine_scores_by_hundreds(spark, d):
-    """As cosine_scores, whose SQL twin fixes three queries, for every row whose id is divisible by 100."""
     corpus = read_table(spark, d, "embeddings")
     scored = V.cosine_scores(corpus, corpus.where("vec_id % 100 = 0"))
     return scored.select("query_id", "vec_id", (F.round("score", 5) + 0.0).alias("score"))
@@ -124,6 +118,50 @@ def knn_topk(spark, d):
     return V.knn(corpus, corpus.where("vec_id % 100 = 0"), 8, digits=5)
 
 
+def truncation_delta(spark, d):
+    """Scores of every hundredth vector against all, by whole vectors and by their first 32 values."""
+    rows = read_table(spark, d, "embeddings").select("vec_id", "embedding")
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    near = V.knn(rows, rows.where("vec_id % 100 = 0"), 8, digits=5).select("query_id", "vec_id")
+    pairs = written(near.join(rows, "vec_id").join(asked, "query_id"), "pairs")
+    unit = lambda c, n: V.normalize(V.fit_length(F.col(c), n) if n else F.col(c))
+    score = lambda n: F.round(V.dot(unit("embedding", n), unit("q", n)), 5).alias("score")
+    keys = ["query_id", "vec_id"]
+    found = M.compare(pairs.select(*keys, score(None)), pairs.select(*keys, score(32)), keys, "score")
+    return found.select("n", "n_unmatched", "n_different", F.round("max_delta", 4).alias("max_delta"))
+
+
+def term_ids(spark, d):
+    return S.term_ids(_docs(spark, d))
+
+
+def longest_document(spark, d):
+    return S.longest(_docs(spark, d))
+
+
+def first_documents(spark, d):
+    return S.first_rows(_docs(spark, d), 50).select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n_chars"))
+
+
+def fuzziness_agreement(spark, d):
+    """Whether a search finds the same documents in the same order with and without typos allowed."""
+    index = S.build_index(_docs(spark, d))
+    return M.same_order(S.search(index, EXACT, k=10, fuzziness=0), S.search(index, EXACT, k=10), "query_id", "rank", "doc_id")
+
+
+def planted_bits(spark, d):
+    """How far the perceptual hashes of planted near copies are from those of their sources."""
+    prints = written(_grays(spark, d).select("img_id", "source", I.phash_udf("gray").alias("hash")), "prints")
+    copies = prints.where("source is not null").select(F.col("source").alias("img_id"), "hash")
+    found = M.compare_hashes(prints.join(copies.select("img_id"), "img_id", "left_semi").select("img_id", "hash"), copies, ["img_id"], "hash")
+    return found.withColumn("mean_bits", F.round("mean_bits", 6))
+
+
+def stream_usage(spark, d):
+    rows = _chunks(spark, d).withColumn("usage", F.when(F.col("seq") % 2 == 1, F.length(F.coalesce("chunk", F.lit("")))))
+    return C.last_usage(rows).select("stream_id", "usage", C.usage_status(F.col("usage")).alias("status"))
+
+
 def page_text(spark, d):
     return read_table(spark, d, "pages").select("page_id", P.page_text_udf()("html").alias("text"))
 
@@ -257,7 +295,8 @@ def component_labels(spark, d):
 
 _NAMES = (
     tokens_per_doc, term_frequency, corpus_stats, vocab_df_idf, postings_offsets, fuzzy_expand, fuzzy_expand_by_deletions, bm25_exact_topk, bm25_fuzzy_topk, bm25_batch_rank,
-    subsequence_score_topk, fnv1a64_terms, simhash_fingerprint, simhash_pairs, simhash_first_pairs, simhash_groups, vector_normalize, cosine_scores, cosine_scores_by_hundreds, knn_topk,
+    subsequence_score_topk, fnv1a64_terms, simhash_fingerprint, simhash_pairs, simhash_first_pairs, simhash_groups, vector_normalize, cosine_scores, knn_topk, truncation_delta,
+    term_ids, longest_document, first_documents, fuzziness_agreement, planted_bits, stream_usage,
     page_text, page_prompt, page_links, page_metadata, url_parts, url_params, slugify, image_variants, block_config, chat_messages_json, chunk_fold, chunk_reconcile, sse_fold,
     rum_weighted_counts, latest_value, field_concat, result_list, dct8x8, phash, phash_groups, gaussian_blur, png_encode, planted_recall, component_labels,
 )
@@ -276,6 +315,9 @@ ORACLES: dict[str, str] = {
     "bm25_exact_topk": oracles.search_sql(_marshalled(EXACT), 0, 10),
     "bm25_fuzzy_topk": oracles.search_sql(_marshalled(FUZZY), 2, 10),
     "bm25_batch_rank": oracles.search_sql(_marshalled(BATCH), 2, 5),
+    "fuzziness_agreement": f"""WITH a AS ({oracles.search_sql(_marshalled(EXACT), 0, 10)}), b AS ({oracles.search_sql(_marshalled(EXACT), 2, 10)}),
+l AS (SELECT query_id, list(doc_id ORDER BY rank) AS x FROM a GROUP BY query_id), r AS (SELECT query_id, list(doc_id ORDER BY rank) AS y FROM b GROUP BY query_id)
+SELECT query_id, coalesce(len(x), 0)::INT AS n_left, coalesce(len(y), 0)::INT AS n_right, x IS NOT DISTINCT FROM y AS same FROM l FULL JOIN r USING (query_id)""",
     "component_labels": """WITH e AS (SELECT source, floor(n_chars / 100) AS c, min(doc_id) AS component FROM documents GROUP BY ALL)
 SELECT doc_id AS node, component FROM documents d JOIN e ON d.source = e.source AND floor(d.n_chars / 100) = e.c""",
 }

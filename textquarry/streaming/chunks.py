@@ -6,7 +6,8 @@ that has not ended yet and the answer so far.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import copy
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -52,6 +53,12 @@ def last_usage(chunks: DataFrame, *, stream_col: str = "stream_id", seq_col: str
     return chunks.groupBy(stream_col).agg(F.max_by(usage_col, F.when(F.col(usage_col).isNotNull(), F.col(seq_col))).alias("usage"))
 
 
+def usage_status(tokens_per_second: Column) -> Column:
+    """What is said at the end of an answer, with the speed where the last chunk tells one that isn't 0."""
+    speed = F.round(tokens_per_second.cast("double")).cast("long").cast("string")
+    return F.when(tokens_per_second != 0, F.concat(F.lit("Done · "), speed, F.lit(" tokens/s"))).otherwise("Done")
+
+
 def latest(events: DataFrame, *, key_cols: list[str], value_col: str, time_col: str) -> DataFrame:
     """Of each key the latest value only, as bursts of key strokes and slider moves are folded."""
     return events.groupBy(*key_cols).agg(F.max_by(value_col, time_col).alias(value_col))
@@ -109,6 +116,8 @@ class Provider:
     """A source of answers. detect() says (usable, reason); run(prompt) yields chunks."""
 
     name = "none"
+    #: It fetches a model first, which "auto" does only with consent.
+    is_download = False
 
     def detect(self) -> tuple[bool, str]:
         return False, "no provider"
@@ -130,12 +139,64 @@ class EchoProvider(Provider):
             yield word if not k else " " + word
 
 
-def first_usable(providers: list[Provider], mode: str = "auto") -> tuple[Provider | None, str]:
-    """The first provider that works, or none and all reasons; a mode other than auto names the only candidate."""
+class ServerProvider(Provider):
+    """A model server: `names` lists its models (a callable, so that no address is built in); the wanted one or the first is used."""
+
+    name = "local"
+
+    def __init__(self, names, answer, wanted: str | None = None):
+        self.names, self.answer, self.wanted, self.model = names, answer, wanted, None
+
+    def detect(self) -> tuple[bool, str]:
+        try:
+            found = list(self.names())
+        except OSError as e:
+            return False, f"server not reached: {e}"
+        if not found:
+            return False, "server has no models"
+        self.model = self.wanted if self.wanted in found else found[0]
+        return True, ""
+
+    def run(self, prompt: str) -> Iterator[str]:
+        return self.answer(self.model, prompt)
+
+
+class Interrupted(Exception):
+    """Raised by a provider whose answer was stopped on request."""
+
+
+def answer(provider: Provider, prompt: str, stop: Callable[[], bool] = lambda: False) -> tuple[str, str]:
+    """(text, state) of one question: done, stopped with what came before, or failed with the reason.
+
+    Each question starts anew: a provider gets its own copy, so nothing of an earlier one is kept.
+    """
+    text, own = "", copy.copy(provider)
+    try:
+        for chunk in own.run(prompt):
+            if stop():
+                return text, "stopped"
+            text += chunk
+    except Interrupted:
+        return text, "stopped"
+    except Exception as e:  # noqa: BLE001 - whatever a provider raises is its answer's end
+        return text, f"failed: {e}"
+    return text, "done"
+
+
+def first_usable(providers: list[Provider], mode: str = "auto", *, consent: bool = True, retries: int = 0) -> tuple[Provider | None, str]:
+    """The first provider that works, or none and all reasons; a mode other than auto names the only candidate.
+
+    Without consent auto passes over those that download. A named one is asked again up to `retries` times.
+    """
     reasons = []
     for p in providers:
+        if mode == "auto" and p.is_download and not consent:
+            continue
         if mode in ("auto", p.name):
-            ok, reason = p.detect()
+            for _ in range(1 if mode == "auto" else 1 + retries):
+                ok, reason = p.detect()
+                if ok:
+                    break
             if ok:
                 return p, ""
             reasons.append(reason)
