@@ -55,3 +55,11 @@ def test_equal_texts_and_empty(spark):
     assert M.compare_with_next(empty_documents(spark)).count() == 0
     one = spark.createDataFrame([(1, "abcd efgh")], "doc_id bigint, text string")
     assert M.compare_with_next(one).first()["near_next"] == 1.0
+
+
+def test_rare_end_of_the_band_grows_with_the_corpus(spark):
+    texts = ["rare%d" % k + (" scarce" if k < 9 else "") + (" usual" if k < 10 else "") for k in range(100)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    lexicon, hashes = M.fit_lexicon(df, least_share=0.091), WordHashes()
+    held = lambda w: bool(lexicon[M._cells(np.array([hashes[w]], np.uint64))][0])
+    assert held(b"usual") and not held(b"scarce") and not held(b"rare3")

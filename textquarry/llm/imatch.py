@@ -1,8 +1,9 @@
 """I-Match document fingerprints over randomised lexicons.
 
 The lexicon holds the terms within a band of inverse document frequency, counted over all documents.
-It is kept as one bit for each of 2**22 cells to which terms are hashed: half a megabyte, whatever the
-corpus; terms that share a cell share its count. A document's distinct terms in the lexicon are sorted
+It is kept as one bit for each of 2**24 cells to which terms are hashed: two megabytes, whatever the
+corpus; terms that share a cell share its count, and the band is one of shares of the documents so that this
+does not grow with the corpus. A document's distinct terms in the lexicon are sorted
 and hashed for the whole lexicon and for random subsets of it. A subset holds a term if a keyed hash of
 the term lies under its rate; rates fall from 1/4 to 1/1024, so that for short and long documents
 alike some subsets hold few of its terms and outlive an edit. The fingerprint is the list of hashes, 32
@@ -22,6 +23,7 @@ Defined results
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -38,7 +40,7 @@ from textquarry.llm.decontaminate import words_of
 from textquarry.llm.shingles import WordHashes, mix
 from textquarry.sources.shared import written
 
-CELL_BITS = 22
+CELL_BITS = 24
 _CHUNK = 4096
 #: Rates of the subsets, the whole lexicon first: six subsets for each power of two.
 RATES = (1.0, *(2.0**-k for k in range(2, 11) for _ in range(6)))
@@ -90,10 +92,16 @@ def _band(least: int, most: int):
     return run
 
 
-def fit_lexicon(docs: DataFrame, *, text_col: str = "text", least_documents: int = 2, most_share: float = 0.2) -> np.ndarray:
-    """The lexicon as booleans by cell. The band is idf from ln(1 / most_share) to ln(N / least_documents)."""
+def fit_lexicon(docs: DataFrame, *, text_col: str = "text", least_documents: int = 2, least_share: float = 1e-5, most_share: float = 0.2) -> np.ndarray:
+    """The lexicon as booleans by cell. The band is idf from ln(1 / most_share) to ln(1 / least_share), of least_documents at least.
+
+    Both ends are shares of the documents, so what rare terms that share a cell add to one another stays the
+    same part of the bound whatever the corpus: a fixed number of documents is passed by every cell of a large one.
+    """
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    most = max(least_documents, int(docs.count() * most_share))
+    n = docs.count()
+    least_documents = max(least_documents, math.ceil(n * least_share))
+    most = max(least_documents, int(n * most_share))
     counts = texts.mapInArrow(_count_cells, "chunk int, counts binary").repartition("chunk").sortWithinPartitions("chunk")
     out = np.zeros(((1 << CELL_BITS) // _CHUNK, _CHUNK), bool)
     found = counts.mapInArrow(_band(least_documents, most), "chunk int, bits binary").toArrow()
