@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from textquarry.llm.shingles import WordHashes
 
 FEATURE_BITS = 16
+_DROPPED = 64 - FEATURE_BITS
 #: Frequent function words of English, French, Spanish and German.
 FUNCTION_WORDS = frozenset(
     b"the of and to in is it for on with as was that by at be this are from or "
@@ -38,6 +39,8 @@ _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SYMBOLS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,;:'\"()-?!")
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
+_ASCII_SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 else 48 if 48 <= b <= 57 else b for b in range(256))
+_RUN, _BYTE_RUN = re.compile(r"(.)\1{3,}"), re.compile(rb"(.)\1{3,}")
 
 
 def _vote(value: float, good: float, bad: float) -> int:
@@ -103,11 +106,24 @@ def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 200) -> tuple[d
     return dict(zip(patterns, post.tolist(), strict=True)), accuracy, float(good)
 
 
+class _Shapes(dict):
+    """code point -> what stands for it in a shape, for str.translate()."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        value = self[code] = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+        return value
+
+
+_SHAPES = _Shapes()
+
+
 def _shape(word: bytes) -> bytes:
     """a for lower-case, A for capital letters, 0 for digits, the rest as it is; runs are cut to three."""
+    if word.isascii():
+        return _BYTE_RUN.sub(rb"\1\1\1", word.translate(_ASCII_SHAPE))
     text = word.decode("utf-8", "replace")
-    out = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in text)
-    return re.sub(r"(.)\1{3,}", r"\1\1\1", out).encode("utf-8", "replace")
+    return _RUN.sub(r"\1\1\1", text.translate(_SHAPES)).encode("utf-8", "replace")
 
 
 class Features(dict):
@@ -121,7 +137,8 @@ class Features(dict):
         if len(self) > 100_000:
             self.clear()
         own = b"word " + word.lower() if len(word) <= 5 else b"start " + word[:1]
-        value = self[word] = tuple(self.hashes[p] >> (64 - FEATURE_BITS) for p in (b"shape " + _shape(word), b"end " + word[-2:].lower(), own))
+        shape, end, own = self.hashes[b"shape " + _shape(word)], self.hashes[b"end " + word[-2:].lower()], self.hashes[own]
+        value = self[word] = shape >> _DROPPED, end >> _DROPPED, own >> _DROPPED
         return value
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +151,7 @@ class Features(dict):
         if len(words) > 4:
             twice = 1 - len(set(zip(words, words[1:]))) / (len(words) - 1)
             marks = [b"pairs %d" % int(twice * 8), b"kinds %d" % int(len(counts) / len(words) * 8)]
-        extra = [self.hashes[m] >> (64 - FEATURE_BITS) for m in (*marks, b"any")]
+        extra = [self.hashes[m] >> _DROPPED for m in (*marks, b"any")]
         index, place = np.unique(np.append(index, extra), return_inverse=True)
         value = np.sqrt(np.bincount(place, np.append(times, [max(1, len(words))] * len(extra))))
         return index, value / np.sqrt((value**2).sum())
