@@ -96,6 +96,15 @@ def test_knn(spark, monkeypatch):
     assert V.knn(corpus, queries, 100).where("query_id = 0").count() == 63
 
 
+def test_cosine_scores_are_of_vectors_stored_in_32_bits(spark):
+    corpus = clustered_embeddings(spark, 300, 24).unionByName(spark.createDataFrame([(900, [0.0] * 24)], "vec_id bigint, embedding array<float>"))
+    unit = {r["vec_id"]: r["n"] for r in corpus.select("vec_id", V.normalize(F.col("embedding")).alias("n")).collect()}
+    got = V.cosine_scores(corpus, corpus.where("vec_id in (0, 7, 900)")).collect()
+    assert len(got) == 3 * 301
+    # in 64 bits throughout, scores are off by some 1e-8
+    assert max(abs(r["score"] - sum(a * b for a, b in zip(unit[r["query_id"]], unit[r["vec_id"]], strict=True))) for r in got) < 1e-14
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<float>")
     got = [[round(x, 6) for x in r["n"]] for r in df.select(V.normalize(F.col("v")).alias("n")).collect()]

@@ -43,18 +43,20 @@ def percent(score: Column) -> Column:
     return F.format_string("%.0f%%", score * 100)
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    """Rows of length dim and norm 1, in 64 bits; nulls are zeros."""
+def _matrix(column: pa.Array, dim: int, single: bool = False) -> np.ndarray:
+    """Rows of length dim and norm 1, in 64 bits; nulls are zeros. single: rounded to 32 bits each, as normalize() stores them."""
     out = np.zeros((len(column), dim))
     for k, v in enumerate(column.to_pylist()):
         if v is not None:
             v = [0.0 if x is None else x for x in v[:dim]]
             out[k, : len(v)] = v
-    length = np.sqrt((out * out).sum(axis=1, keepdims=True))
-    return np.divide(out, length, out=out, where=length > 0)
+    # squares are added up one after the other as in norm(): the last bit of a length can move a value's 32nd
+    length = np.sqrt(np.add.accumulate(out * out, axis=1)[:, -1:] if single else (out * out).sum(axis=1, keepdims=True))
+    np.divide(out, length, out=out, where=length > 0)
+    return out.astype(np.float32).astype(np.float64) if single else out
 
 
-def _blocks(corpus: DataFrame, queries: DataFrame, id_col: str, vector_col: str) -> Iterator[tuple]:
+def _blocks(corpus: DataFrame, queries: DataFrame, id_col: str, vector_col: str, single: bool = False) -> Iterator[tuple]:
     """(broadcast of ids and matrix, length of vectors) for each block of queries; a block has BLOCK_VALUES numbers at most."""
     dim = corpus.select(F.max(F.size(vector_col))).first()[0] or 1
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
@@ -63,19 +65,22 @@ def _blocks(corpus: DataFrame, queries: DataFrame, id_col: str, vector_col: str)
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
         table = part.toArrow()
         ids = np.asarray(table.column("id").to_numpy(), np.int64)
-        yield corpus.sparkSession.sparkContext.broadcast((ids, _matrix(table.column("v").combine_chunks(), dim))), dim
+        yield corpus.sparkSession.sparkContext.broadcast((ids, _matrix(table.column("v").combine_chunks(), dim, single))), dim
 
 
-def _over_blocks(corpus: DataFrame, queries: DataFrame, id_col: str, vector_col: str, make) -> DataFrame:
+def _over_blocks(corpus: DataFrame, queries: DataFrame, id_col: str, vector_col: str, make, single: bool = False) -> DataFrame:
     rows, found = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")), None
-    for shared, dim in _blocks(corpus, queries, id_col, vector_col):
+    for shared, dim in _blocks(corpus, queries, id_col, vector_col, single):
         part = rows.mapInArrow(make(shared, dim), "query_id bigint, id bigint, score double")
         found = part if found is None else found.unionAll(part)
     return found
 
 
 def cosine_scores(corpus: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, id, score) of every row for every query, block by block of queries."""
+    """(query_id, id, score) of every row for every query, block by block of queries.
+
+    Vectors are normalised and stored in 32 bits first, as by normalize(); the products are added up in 64 bits.
+    """
 
     def make(shared, dim: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,13 +88,13 @@ def cosine_scores(corpus: DataFrame, queries: DataFrame, *, id_col: str = "vec_i
             for batch in batches:
                 for lo in range(0, batch.num_rows, 2048):
                     part = batch.slice(lo, 2048)
-                    scores = (_matrix(part.column(1), dim) @ matrix.T).ravel()
+                    scores = (_matrix(part.column(1), dim, single=True) @ matrix.T).ravel()
                     own = np.repeat(part.column(0).to_numpy(zero_copy_only=False), len(queries))
                     yield pa.RecordBatch.from_arrays([pa.array(np.tile(queries, part.num_rows)), pa.array(own), pa.array(scores)], names=["query_id", "id", "score"])
 
         return run
 
-    return _over_blocks(corpus, queries, id_col, vector_col, make).withColumnRenamed("id", id_col)
+    return _over_blocks(corpus, queries, id_col, vector_col, make, single=True).withColumnRenamed("id", id_col)
 
 
 def knn(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vector_col: str = "embedding", skip_self: bool = True, digits: int | None = None) -> DataFrame:
