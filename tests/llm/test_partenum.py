@@ -1,8 +1,11 @@
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 
 from tests.llm.helpers import empty_documents, odd_documents, words
+from textquarry.llm import decontaminate
 from textquarry.llm import partenum as P
 from textquarry.llm.shingles import mix
 
@@ -159,3 +162,18 @@ def test_long_documents(spark):
     expected = brute(rows, 5, 80)
     assert sorted((tuple(r) for r in P.jaccard_components(df, block=2, division=3000).collect()), key=str) == expected
     assert {r["doc_id"] for r in P.keep_one(df).collect()} == {c for _, _, c, _ in expected}
+
+
+def test_workers_hand_on_few_rows_at_a_time():
+    n = 3000
+    texts = [" ".join(f"w{k * 7 + j}" for j in range(60)) for k in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(texts), pa.array(range(n), pa.int64())], names=["id", "text", "text_hash"])
+    out = list(P._signature_rows(5, 80, lambda ids, hashes: np.ones(len(ids), bool))(iter([batch])))
+    assert len({c for o in out for c in o.column(1).to_pylist()}) == n
+    # those of the whole batch at once are held by the worker and once more by the JVM
+    assert max(len(set(o.column(1).to_pylist())) for o in out) <= 200
+
+    windows = SimpleNamespace(value=[(b" " + t.encode() + b" ", 60, []) for t in texts[::10]])
+    out = list(decontaminate._filter("few rows", windows, 1)(iter([batch])))
+    assert [i for o in out for i in o.column(0).to_pylist()] == [k for k in range(n) if k % 10]
+    assert max(o.num_rows for o in out) <= 500

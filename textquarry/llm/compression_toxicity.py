@@ -277,8 +277,10 @@ def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", thresho
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what Arrow holds of the worker's last task
         for batch in batches:
-            found = [scores(shared.value, batch.column(at).slice(lo, 500).to_pylist()) for lo in range(0, batch.num_rows, 500)]
-            yield batch.filter(pa.array(np.concatenate(found) < threshold if found else [], pa.bool_()))
+            for lo in range(0, batch.num_rows, 500):  # a copy of a whole batch would be held here and once more by the JVM
+                some = batch.slice(lo, 500)
+                yield some.filter(pa.array(scores(shared.value, some.column(at).to_pylist()) < threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

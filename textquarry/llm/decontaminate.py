@@ -196,9 +196,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
 
 def _filter(key: str, shared, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what Arrow holds of the worker's last task
         trie, windows = _automaton(key, shared.value)
         for batch in batches:
-            clean = [not scan(words_of(t), trie, windows)[0] for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+            for lo in range(0, batch.num_rows, 500):  # a copy of a whole batch would be held here and once more by the JVM
+                some = batch.slice(lo, 500)
+                clean = [not scan(words_of(t), trie, windows)[0] for t in some.column(at).to_pylist()]
+                yield some.filter(pa.array(clean, pa.bool_()))
 
     return run

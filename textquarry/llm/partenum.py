@@ -150,6 +150,7 @@ def _set_rows(size: int):
     """id, text_hash, n_shingles, class, sketch (both null for an empty set) and fine sketch of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what Arrow holds of the worker's last task
         hashes = WordHashes()
         for batch in batches:
             n, keys, sketches, fine = [], [], [], []
@@ -211,20 +212,23 @@ def _signature_rows(size: int, percent: int, inside):
     """(sign, class) of the set of every document that stands for its class, each class once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what Arrow holds of the worker's last task
         hashes, bands, seen = WordHashes(), Bands(percent), set()
         for batch in batches:
-            signs, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            for k in np.flatnonzero(inside(batch.column(0), batch.column(2))).tolist():
-                s = shingle_set(batch.column(1)[k].as_py(), size, hashes)
-                if not len(s) or (key := set_key(s)) in seen:
-                    continue
-                if len(seen) >= 500_000:
-                    seen.clear()
-                seen.add(key)
-                signs.append(bands.signatures(s))
-                owners.append(np.full(len(signs[-1]), key, np.int64))
-            cols = [pa.array(np.concatenate(signs).view(np.int64)), pa.array(np.concatenate(owners))]
-            yield pa.RecordBatch.from_arrays(cols, names=["sign", "class"])
+            asked = np.flatnonzero(inside(batch.column(0), batch.column(2))).tolist()
+            for lo in range(0, len(asked), 200):  # a set has hundreds of signatures: those of a whole batch outweigh its texts
+                signs, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+                for k in asked[lo : lo + 200]:
+                    s = shingle_set(batch.column(1)[k].as_py(), size, hashes)
+                    if not len(s) or (key := set_key(s)) in seen:
+                        continue
+                    if len(seen) >= 500_000:
+                        seen.clear()
+                    seen.add(key)
+                    signs.append(bands.signatures(s))
+                    owners.append(np.full(len(signs[-1]), key, np.int64))
+                cols = [pa.array(np.concatenate(signs).view(np.int64)), pa.array(np.concatenate(owners))]
+                yield pa.RecordBatch.from_arrays(cols, names=["sign", "class"])
 
     return run
 
