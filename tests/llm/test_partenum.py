@@ -84,6 +84,20 @@ def test_keep_one(spark):
     assert P.keep_one(empty_documents(spark)).count() == 0
 
 
+def test_keep_one_leaves_no_large_plan_to_the_driver(spark, monkeypatch):
+    joins, write = {}, P.written
+
+    def counted(df, label):
+        joins[label] = max(joins.get(label, 0), df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return write(df, label)
+
+    monkeypatch.setattr(P, "written", counted)
+    rows = family(random.Random(5), 6, 4)
+    assert P.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).count()
+    # the driver plans all joins of a plan at once, broadcasts most of them, and plans them anew as each one ends
+    assert max(joins.values()) <= 6, joins
+
+
 def test_one_large_group_of_near_copies(spark):
     """A chain of edits: neighbours are similar, far ones are not; most of the table is one component."""
     rng = random.Random(8)

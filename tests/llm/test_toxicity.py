@@ -28,6 +28,28 @@ def auc(scores, y):
     return (order[np.array(y) == 1].sum() - n * (n - 1) / 2) / n / (len(y) - n)
 
 
+def memory():
+    """MB of this process without mapped files."""
+    return sum(int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith("Pss_Anon")) / 1024
+
+
+def test_a_fit_leaves_its_memory(spark, monkeypatch):
+    """Freed memory below something kept stays with the C library, and so with the driver, unless it is asked for."""
+    kept = []
+
+    def fit(texts, toxic):
+        held = [bytes(1000) for _ in range(150_000)]
+        kept.append(held[-1])
+        return T.Model(b"", b"", None, len(texts))
+
+    monkeypatch.setattr(T, "fit", fit)
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id bigint, toxic int")
+    before = memory()
+    T.fit_on_labels(docs, labels)
+    assert kept and memory() - before < 75
+
+
 def test_held_out_accuracy(spark):
     rows = corpus()
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string").repartition(3)

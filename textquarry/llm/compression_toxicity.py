@@ -29,6 +29,8 @@ Defined results
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import hashlib
 import itertools
@@ -256,7 +258,17 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(chosen), "i")
     rows = texts.select("t", "y").toArrow()
     rows = sorted(zip(rows.column("t").to_pylist(), rows.column("y").to_pylist(), strict=True), key=lambda r: (r[0] or "", r[1]))
-    return fit([t for t, _ in rows], [y for _, y in rows], **options)
+    model = fit([t for t, _ in rows], [y for _, y in rows], **options)
+    del rows
+    _give_back()
+    return model
+
+
+def _give_back() -> None:
+    """Return what the C library holds of freed memory: else the driver has the peak of a fit for the rest of the session."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no glibc
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def score_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

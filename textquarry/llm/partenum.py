@@ -501,7 +501,7 @@ def _linked(rows: DataFrame, percent: int, count_links: bool, block: int, divisi
 
 
 def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, block: int = 512, division: int = DIVISION_FEATURES, count_links: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(id, text_hash, n_shingles, class) of every document; (class, component, component_id, n_links) of every class.
+    """(id, text_hash, n_shingles, class) of every document; (class, id, component, n_links) of every class, id being its smallest.
 
     Without count_links n_links only tells whether a class has any link or copy: it is 0 or more.
     """
@@ -525,19 +525,19 @@ def classify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     compared = _linked(_differences(source, wanted, shingle, percent, division), percent, count_links, block, division)
 
     reached = connected_components(compared.where("a <> b")).select(F.col("node").alias("class"), "component")
-    links = compared.where("a = b").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
-    if not count_links:
-        links = reached.select("class", F.lit(1).cast("long").alias("links"))
-    labelled = classes.join(reached, "class", "left").join(links, "class", "left")
-    labelled = labelled.select("class", "id", "copies", F.coalesce("component", "class").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
-    least = labelled.groupBy("component").agg(F.min("id").alias("component_id"))
-    out = labelled.join(least, "component").select("class", "component", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    return rows, out
+    if count_links:
+        links = compared.where("a = b").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
+        labelled = classes.join(reached, "class", "left").join(links, "class", "left")
+    else:
+        labelled = classes.join(reached.withColumn("links", F.lit(1).cast("long")), "class", "left")
+    n_links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
+    return rows, labelled.select("class", "id", F.coalesce("component", "class").alias("component"), n_links.alias("n_links"))
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, block: int = 512, division: int = DIVISION_FEATURES) -> DataFrame:
     """One row per document: its id, n_shingles, component_id and n_links, the number of documents it links with."""
     rows, classes = classify(docs, id_col=id_col, text_col=text_col, shingle=shingle, percent=percent, block=block, division=division)
+    classes = classes.join(classes.groupBy("component").agg(F.min("id").alias("component_id")), "component").drop("id")
     return rows.join(classes, "class", "left").select(
         F.col("id").alias(id_col),
         "n_shingles",
@@ -555,7 +555,9 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     rows, classes = classify(docs, id_col=id_col, text_col=text_col, shingle=shingle, percent=percent, block=block, division=division, count_links=False)
     order = F.struct(F.col("id").isNull().alias("last"), "id", "text_hash")
-    members = rows.join(classes.where("n_links > 0").select("class", "component"), "class").select("component", order.alias("row"))
+    # read twice below: unwritten, what found the components would stand in that plan many times over, and the driver hold it
+    linked = written(classes.where("n_links > 0").select("class", "component"), "linked")
+    members = rows.join(linked, "class").select("component", order.alias("row"))
     keeper = members.groupBy("component").agg(F.min("row").alias("keeper"))
     gone = members.join(keeper, "component").where("row <> keeper").select("row.id", "row.text_hash", F.lit(True).alias("gone")).distinct()
     twice = rows.where("class is not null").groupBy("id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select("id", "text_hash", F.lit(False).alias("gone"))
