@@ -18,6 +18,23 @@ def test_page_text():
     assert P.page_text(None) == "" and P.page_text("plain &amp; text") == "plain & text"
 
 
+def test_only_references_with_a_semicolon_are_decoded(spark):
+    """A heading cut behind an escape ends in "&amp"; the SQL twins leave that as it is."""
+    import duckdb
+
+    from textquarry.plans.oracles import STATIC
+
+    cut = "<body><h1>a&amp;&amp</h1><p>b&am</p><p>&copy; &copy &ampx; R&D &middot; &amp;amp;</p></body>"
+    assert P.page_text(cut) == "a&&ampb&am© &copy &ampx; R&D · &amp;"
+    assert P.page_text("<p>&lt;&#233;&#xe9;&#233</p>") == "<éé&#233"
+    assert P.parse('<a href="/?a=1&copy=2&amp;c">x</a>').links == ["/?a=1&copy=2&c"]
+    pages = spark.createDataFrame([(1, cut)], "page_id bigint, html string")
+    text = pages.select(P.page_text_udf()("html").alias("text"))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages AS SELECT 1 AS page_id, ? AS html", [cut])
+    assert con.execute(STATIC["page_text"]).fetchall() == [(1, text.first()["text"])]
+
+
 def test_links_metadata_prompt(spark):
     pages = spark.createDataFrame([(1, "/x", PAGE), (2, "//y", None)], "page_id bigint, path string, html string")
     assert [(r["n"], r["kind"], r["url"]) for r in P.page_links(pages).orderBy("n").collect()] == [(0, "link", "/l"), (1, "image", "/i.png")]
