@@ -33,6 +33,8 @@ def test_only_references_with_a_semicolon_are_decoded(spark):
     con = duckdb.connect()
     con.execute("CREATE TABLE pages AS SELECT 1 AS page_id, ? AS html", [cut])
     assert con.execute(STATIC["page_text"]).fetchall() == [(1, text.first()["text"])]
+    asked = P.messages_json("Answer from the page.", P.prompt(F.col("text"), "Summarise the page."))
+    assert con.execute(STATIC["page_prompt"]).fetchall() == [(1, text.select(asked.alias("m")).first()["m"])]
 
 
 def test_links_metadata_prompt(spark):
