@@ -58,6 +58,20 @@ def test_equals_twin(spark):
     assert sorted(map(tuple, near[0].collect())) == sorted(map(tuple, near[1].collect()))
 
 
+@pytest.mark.parametrize("most", [1 << 17, 0])
+def test_forms_of_the_vocabulary_are_not_broadcast(spark, monkeypatch, most):
+    """Spark would broadcast them whenever the vocabulary's file is small."""
+    monkeypatch.setattr(S, "BROADCAST_FORMS", most)
+    index = S.build_index(text_corpus(spark, 60).select("doc_id", "text"))
+    terms = S.query_terms(spark, {0: "bafo gadu", 1: "bafe lamo"})
+    got = S.expand(index, terms, broadcast_terms=False)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert ("BroadcastHashJoin" in plan, "SortMergeJoin" in plan) == (most > 0, most == 0)
+    # the side built for the broadcast is the one on the right, that of the query
+    assert most == 0 or "BuildRight" in plan.split("BroadcastHashJoin")[1].split("\n")[0]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, S.expand(index, terms).collect()))
+
+
 def test_limits(spark):
     assert len(S.marshal("a " * 40)) == 32
     assert S.marshal("x" * 600 + " b") == ["x" * 64, "b"]

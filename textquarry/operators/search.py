@@ -19,6 +19,8 @@ from textquarry.sources.shared import written
 
 #: Up to so many query terms are broadcast against the vocabulary; more are matched by deletions.
 BROADCAST_TERMS = 4096
+#: Up to so many forms that deletions leave of the query terms are broadcast; beyond that both sides are shuffled.
+BROADCAST_FORMS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -171,7 +173,8 @@ def expand(index: Index, terms: DataFrame, *, cap: int = 2, broadcast_terms: boo
 
     Query terms are few, so they are broadcast and lengths and Levenshtein rule out nearly every pair before
     the exact distance. For many query terms both sides are joined on what deletions leave of them: two
-    terms within d edits share a form with at most d deletions on either side.
+    terms within d edits share a form with at most d deletions on either side. The vocabulary's forms are many
+    times as large as its file, by which Spark sizes them, so they are never left to be broadcast.
     """
     asked = terms.withColumn("edits", T.allowed_edits(F.col("query_term"), cap))
     words = index.vocabulary
@@ -180,7 +183,8 @@ def expand(index: Index, terms: DataFrame, *, cap: int = 2, broadcast_terms: boo
     else:
         left = asked.select("query_id", "qi", "query_term", "edits", F.explode(T.deletions(F.col("query_term"), cap)).alias("form"))
         right = words.select("term", "idf", F.explode(T.deletions(F.col("term"), cap)).alias("form"))
-        near = left.join(right, "form").where(T.may_match(F.col("query_term"), F.col("term"), F.col("edits"))).drop("form").distinct()
+        few = left.limit(BROADCAST_FORMS + 1).count() <= BROADCAST_FORMS
+        near = right.join(F.broadcast(left) if few else left.hint("merge"), "form").where(T.may_match(F.col("query_term"), F.col("term"), F.col("edits"))).drop("form").distinct()
     # up to 1 Levenshtein's distance is the same; above it a swap of neighbours may make the exact one smaller
     plain, possible = F.levenshtein("query_term", "term"), T.may_match(F.col("query_term"), F.col("term"), F.col("edits"))
     # the optimizer moves the filter below into the join's condition, in front of the others: so the cheap test comes first in here as well
