@@ -109,3 +109,13 @@ def test_subsequence(spark):
     for q in ("thering", "n", ""):
         got = [r["s"] for r in df.select(S.subsequence_score(q, F.col("t")).alias("s")).collect()]
         assert np.allclose(got, [subsequence(q, t) for t in texts])
+
+
+def test_subsequence_steps_over_the_needle_only(spark):
+    """The text is never split into characters; ends, repeats, wide characters and missing ones as in the twin."""
+    texts = ["", "n", "xn", "-n", "THE ring", "tttthhheeering", "théring", "a\U0001f600 the\U0001f600ring", "therin", "g" * 50, "no (thering", "t h e r i n g" * 30]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    for q in ("thering", "nn", "gg", "\U0001f600r", "zz"):
+        scored = df.select(S.subsequence_score(q, F.col("t")).alias("s"))
+        assert np.allclose([r["s"] for r in scored.collect()], [subsequence(q, (t or "").lower()) for t in [*texts, None]], atol=1e-12)
+        assert "split(" not in scored._jdf.queryExecution().optimizedPlan().toString()

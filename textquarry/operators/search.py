@@ -230,27 +230,28 @@ def search(index: Index, phrases: dict[int, str], *, k: int = 10, fuzziness: int
 
 def subsequence_score(needle: str, text: Column) -> Column:
     """In-order character match: 1 a hit, twice the run before it, 3 at the start, 2 behind a separator, and
-    its earliness (n - i) / n; 0 unless all characters match, 1 for an empty needle."""
+    its earliness (n - i) / n; 0 unless all characters match, 1 for an empty needle.
+
+    Matching is greedy, so each character of the needle is looked for natively behind the hit before it: as many
+    steps as the needle is long, whatever the text's length.
+    """
     if not needle:
         return F.lit(1.0)
-    wanted = F.array(*map(F.lit, needle.lower()))
-    chars = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), ""), lambda c: c != "")
-    start = F.struct(F.lit(1).alias("at"), F.lit(0).alias("run"), F.lit(0.0).cast("double").alias("score"), F.lit("").alias("before"), F.lit(0).alias("i"))
-
-    def walk(pair: Column) -> Column:
-        n = F.size(pair["chars"]).cast("double")
-
-        def step(s: Column, c: Column) -> Column:
-            hit = (s["at"] <= len(needle)) & (F.coalesce(F.get(pair["wanted"], s["at"] - 1), F.lit("")) == c)
-            gain = F.lit(1.0) + s["run"] * 2 + F.when(s["i"] == 0, 3).when(s["before"].rlike(r"[ \-/_.,:(]"), 2).otherwise(0) + (n - s["i"]) / n
-            return F.struct(
-                F.when(hit, s["at"] + 1).otherwise(s["at"]).alias("at"),
-                F.when(hit, s["run"] + 1).otherwise(0).alias("run"),
-                F.when(hit, s["score"] + gain).otherwise(s["score"]).alias("score"),
-                c.alias("before"),
-                (s["i"] + 1).alias("i"),
-            )
-
-        return F.aggregate(pair["chars"], start, step, lambda s: F.when(s["at"] > len(needle), s["score"]).otherwise(0.0))
-
-    return T.bind(F.struct(chars.alias("chars"), wanted.alias("wanted")), walk)
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("run"), F.lit(0.0).cast("double").alias("score"))
+
+    def walk(t: Column) -> Column:
+        n = F.length(t).cast("double")
+
+        def hit(s: Column, p: Column) -> Column:
+            """p: the character's first place behind the last hit, from 1; 0 for none."""
+            run = F.when((s["at"] > 0) & (p == s["at"] + 1), s["run"]).otherwise(0)
+            gain = F.lit(1.0) + run * 2 + F.when(p == 1, 3).when(F.substr(t, p - 1, F.lit(1)).rlike(r"[ \-/_.,:(]"), 2).otherwise(0) + (n - (p - 1)) / n
+            found = F.struct(p.alias("at"), (run + 1).alias("run"), (s["score"] + gain).alias("score"))
+            return F.when(p > 0, found).otherwise(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("run"), s["score"].alias("score")))
+
+        # once a character is missing, at stays -1
+        step = lambda s, c: T.bind(F.when(s["at"] >= 0, F.position(c, t, s["at"] + 1)).otherwise(0), lambda p: hit(s, p))
+        return F.aggregate(F.array(*map(F.lit, needle.lower())), start, step, lambda s: F.when(s["at"] > 0, s["score"]).otherwise(0.0))
+
+    return T.bind(lower, walk)
