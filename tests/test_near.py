@@ -53,6 +53,22 @@ def twin(text):
     return x - 2**64 if x >> 63 else x
 
 
+@pytest.mark.parametrize(("at_once", "portion"), [(60_000, 1 << 20), (7, 50)])
+def test_fingerprints_of_texts_as_they_are(monkeypatch, at_once, portion):
+    """The kernel finds tokens itself: at the borders of texts, behind other letters, very long, very many."""
+    import pandas as pd
+
+    monkeypatch.setattr(H, "_AT_ONCE", at_once)
+    monkeypatch.setattr(H, "_PORTION", portion)
+    texts = ["", "a", "b-a", "!!", "été\0x", "x" * 65 + " y", "z" * 3000, "ab " * 500 + "c", "", " q1 q1  q2", "\U0001f600k"]
+    texts += ["w" * k for k in range(60, 90)]
+    assert H._fingerprints(pd.Series(texts)).tolist() == [twin(t) for t in texts]
+    assert H._fingerprints(pd.Series([], dtype=object)).tolist() == []
+    if at_once > 7:
+        many = ["k v " * 70_000 + "v", "u"]
+        assert H._fingerprints(pd.Series(many)).tolist() == [twin(t) for t in many]
+
+
 def test_fingerprints_pairs_and_groups(spark):
     docs = near_duplicates(spark, 120).unionByName(spark.createDataFrame([(500, None), (501, "!!"), (502, "été")], "doc_id bigint, text string"))
     docs = docs.unionByName(docs.where("doc_id < 5").withColumn("doc_id", F.col("doc_id") + 600))

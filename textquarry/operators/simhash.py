@@ -9,7 +9,6 @@ pairs are pairs of classes.
 
 from __future__ import annotations
 
-from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -17,41 +16,75 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.functions.text import FNV_OFFSET, FNV_PRIME, runs
+from textquarry.functions.text import FNV_OFFSET, FNV_PRIME
 from textquarry.operators.components import connected_components
 from textquarry.sources.shared import written
 
 
-class _Hashes(dict):
-    """token -> its 64 votes, +1 or -1; bounded."""
-
-    def __missing__(self, token: str) -> np.ndarray:
-        if len(self) >= 50_000:
-            self.clear()
-        h = FNV_OFFSET
-        for byte in token.encode("ascii"):
-            h = (h ^ byte) * FNV_PRIME & 0xFFFFFFFFFFFFFFFF
-        bits = np.unpackbits(np.array([h], "<u8").view(np.uint8), bitorder="little")
-        value = self[token] = bits.astype(np.int8) * 2 - 1
-        return value
+#: Bytes of a-z and 0-9; of a token's hash four bits each as four lanes of 16 bits; tokens whose lanes are added up at once.
+_IN_TOKEN = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8))
+_LANES = (np.arange(16)[:, None] >> np.arange(4) & 1).astype("<u2").view("<u8").ravel()
+_AT_ONCE = 60_000
+#: Bytes of text that are hashed at once, and characters behind which few tokens are left.
+_PORTION, _LONG = 1 << 20, 64
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """FNV-1a of all tokens, one character of each at a time; what is left of a few long ones goes one by one."""
+    order = np.argsort(-lengths, kind="stable")
+    at, left = starts[order], lengths[order]
+    h = np.full(len(at), FNV_OFFSET, np.uint64)
+    for p in range(int(left[0]) if len(left) else 0):
+        k = int(np.searchsorted(-left, -p, "left"))
+        if p >= _LONG and k < 16:
+            for j in range(k):
+                value = int(h[j])
+                for byte in data[at[j] + p : at[j] + left[j]].tolist():
+                    value = (value ^ byte) * FNV_PRIME & 0xFFFFFFFFFFFFFFFF
+                h[j] = value
+            break
+        h[:k] = (h[:k] ^ data[at[:k] + p]) * np.uint64(FNV_PRIME)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
 
 
-def _fingerprints(lines: pd.Series) -> pd.Series:
-    """lines: tokens between blanks."""
-    known, out = _Hashes(), np.zeros(len(lines), np.uint64)
-    weight = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    for k, line in enumerate(lines):
-        counts = Counter(line.split()) if line else None
-        if counts:
-            total = np.fromiter(counts.values(), np.int64, len(counts)) @ np.array(list(map(known.__getitem__, counts)), np.int64)
-            out[k] = weight[total > 0].sum(dtype=np.uint64)
-    return pd.Series(out.view(np.int64))
+def _votes(texts: list[bytes]) -> np.ndarray:
+    """The fingerprints of some texts. Bits set are counted in lanes, four to a number, and those of a text added up."""
+    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    ends_of_texts = np.cumsum([len(t) + 1 for t in texts])
+    edges = np.diff(_IN_TOKEN[data].view(np.int8), prepend=np.int8(0))
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    h, text = _hashes(data, starts, ends - starts), np.searchsorted(ends_of_texts, starts, "right")
+    ones = np.zeros((len(texts), 64), np.int64)
+    shifts = np.arange(0, 64, 4, dtype=np.uint64)
+    for k in range(0, len(h), _AT_ONCE):
+        lanes = _LANES[(h[k : k + _AT_ONCE, None] >> shifts & np.uint64(15)).astype(np.intp)]
+        part = text[k : k + _AT_ONCE]
+        first = np.flatnonzero(np.diff(part, prepend=-1))
+        ones[part[first]] += np.ascontiguousarray(np.add.reduceat(lanes, first, axis=0)).view("<u2").reshape(-1, 64)
+    bits = 2 * ones > np.bincount(text, minlength=len(texts))[:, None]
+    return np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel()
+
+
+def _fingerprints(texts: pd.Series) -> pd.Series:
+    """texts: in lower case, without nulls."""
+    out, some, size = [], [], 0
+    for t in texts:
+        some.append(t.encode())
+        size += len(some[-1])
+        if size >= _PORTION:
+            out.append(_votes(some))
+            some, size = [], 0
+    if some:
+        out.append(_votes(some))
+    return pd.Series(np.concatenate(out) if out else np.zeros(0, np.int64))
 
 
 def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint): one pass without a shuffle; votes run on Arrow batches. A text without tokens gets 0."""
+    """(doc_id, fingerprint): one pass without a shuffle; tokens are found, hashed and counted on Arrow batches. A text without tokens gets 0."""
     vote = F.pandas_udf(_fingerprints, "bigint")
-    return docs.select(F.col(id_col).alias("doc_id"), vote(F.array_join(runs(F.col(text_col)), " ")).alias("fingerprint"))
+    return docs.select(F.col(id_col).alias("doc_id"), vote(F.lower(F.coalesce(F.col(text_col), F.lit("")))).alias("fingerprint"))
 
 
 def hamming(a: Column, b: Column) -> Column:
