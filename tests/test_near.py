@@ -89,6 +89,42 @@ def test_fingerprints_pairs_and_groups(spark):
     assert H.first_pairs(H.fingerprint(docs), 8, 3).count() == 3
 
 
+def _counted(rows, seen):
+    for batch in rows:
+        seen.add(batch.num_rows)
+        yield batch
+
+
+def test_links_of_a_crowded_bucket_are_few_and_found_once(spark):
+    """900 fingerprints within 8 bits of one another have 404,550 pairs; links are at most one for each class and key, and made once."""
+    rng = random.Random(4)
+    near = sorted({sum(1 << b for b in rng.sample(range(40), 4)) for _ in range(1500)})[:900]
+    rows = [(k, p) for k, p in enumerate(near)] + [(2000 + k, (rng.getrandbits(63) | 1 << 62)) for k in range(30)]
+    prints = spark.createDataFrame(rows, "doc_id bigint, fingerprint bigint").repartition(4)
+    for t, blocks in ((8, 9), (8, None), (3, 5)):
+        links = [(r["a"], r["b"]) for r in H.near_links(H.classes(prints), t, blocks).collect()]
+        by_id = dict(rows)
+        assert all(bin(by_id[a] ^ by_id[b]).count("1") <= t for a, b in links)
+        expected = [(i, j) for i in by_id for j in by_id if i < j and bin(by_id[i] ^ by_id[j]).count("1") <= t]
+        assert roots(2030, links) == roots(2030, expected)
+        assert len(links) <= len(rows) * len(H._masks(t, blocks or H.blocks_for(len(rows), t)))
+        pairs = [(r["a"], r["b"]) for r in H.near_pairs(prints, t, blocks).collect()]
+        assert sorted(pairs) == expected
+    seen = spark.sparkContext.accumulator(0)
+    edges = spark.range(10).selectExpr("id a", "id + 1 b").mapInArrow(lambda rows: _counted(rows, seen), "a bigint, b bigint")
+    assert connected_components(edges, loops=False).where("component = 0").count() == 11 and seen.value == 10
+
+
+def test_bucket_over_several_batches():
+    import pyarrow as pa
+
+    rows = [(0, 5, 1, 0), (0, 5, 2, 1), (0, 5, 3, 3), (0, 6, 4, 9), (1, 6, 5, 9), (1, 6, 6, 8), (1, 6, 7, 255)]
+    for cut in range(1, 8):
+        batches = [pa.RecordBatch.from_pydict({n: [r[k] for r in rows[i : i + cut]] for k, n in enumerate(("n", "bits", "doc_id", "fingerprint"))}) for i in range(0, len(rows), cut)]
+        got = [x for b in H._trees(iter(batches), 1) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        assert got == [(1, 2), (2, 3), (5, 6)]
+
+
 def test_knn(spark, monkeypatch):
     corpus = clustered_embeddings(spark, 300, 24).unionByName(spark.createDataFrame([(900, [0.0] * 24), (901, [1.0] * 30), (902, [2.0])], "vec_id bigint, embedding array<float>"))
     queries = corpus.where("vec_id in (0, 7, 900, 901)")

@@ -69,10 +69,11 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return row[0], int(row[1])
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", *, loops: bool = True) -> DataFrame:
     """(node, component) for every node of an edge: component is the smallest node reachable.
 
-    Nodes are BIGINT. Edges with a null end are ignored; a loop alone makes its node a component.
+    Nodes are BIGINT. Edges with a null end are ignored; a loop alone makes its node a component, for which the
+    edges are read a second time: without loops, which the caller vouches for, once.
     """
     pairs = edges.select(F.col(a).cast("long").alias("v"), F.col(b).cast("long").alias("m")).where("v is not null and m is not null")
     now = written(pairs.where("v <> m").mapInArrow(_forest, "v bigint, m bigint").distinct(), "edges")
@@ -84,5 +85,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while state != before:
         now = written(_small_star(_large_star(now)), "edges")
         before, state = state, _state(now)
-    roots = now.select("v", "m").unionAll(now.select(F.col("m").alias("v"), "m")).unionAll(pairs.where("v = m").select("v", F.lit(None).cast("long").alias("m")))
+    roots = now.select("v", "m").unionAll(now.select(F.col("m").alias("v"), "m"))
+    if loops:
+        roots = roots.unionAll(pairs.where("v = m").select("v", F.lit(None).cast("long").alias("m")))
     return roots.groupBy("v").agg(F.min("m").alias("m")).select(F.col("v").alias("node"), F.coalesce("m", "v").alias("component"))

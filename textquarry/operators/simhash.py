@@ -9,10 +9,12 @@ pairs are pairs of classes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,15 +93,19 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def _keys(bits: Column, threshold: int, blocks: int) -> list[Column]:
-    """A struct (choice of blocks, their bits) for every choice of blocks - threshold blocks."""
+def _masks(threshold: int, blocks: int) -> list[int]:
+    """The bits of every choice of blocks - threshold blocks."""
     edges = [round(64 * k / blocks) for k in range(blocks + 1)]
-    out = []
-    for n, chosen in enumerate(combinations(range(blocks), blocks - threshold)):
-        mask = sum(((1 << edges[k + 1]) - (1 << edges[k])) for k in chosen)
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        out.append(F.struct(F.lit(n).alias("n"), bits.bitwiseAND(F.lit(signed).cast("long")).alias("bits")))
-    return out
+    return [sum((1 << edges[k + 1]) - (1 << edges[k]) for k in chosen) for chosen in combinations(range(blocks), blocks - threshold)]
+
+
+def _and(bits: Column, mask: int) -> Column:
+    return bits.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long"))
+
+
+def _keys(bits: Column, masks: list[int]) -> list[Column]:
+    """A struct (choice of blocks, their bits) for every choice."""
+    return [F.struct(F.lit(n).alias("n"), _and(bits, mask).alias("bits")) for n, mask in enumerate(masks)]
 
 
 def classes(prints: DataFrame) -> DataFrame:
@@ -115,18 +121,76 @@ def blocks_for(n: int, threshold: int, bucket: int = 16) -> int:
     return blocks
 
 
+def _keyed(reps: DataFrame, threshold: int, blocks: int | None) -> tuple[DataFrame, list[int]]:
+    masks = _masks(threshold, blocks or blocks_for(reps.count(), threshold))
+    return reps.select("doc_id", "fingerprint", F.explode(F.array(*_keys(F.col("fingerprint"), masks))).alias("key")), masks
+
+
 def near_pairs(prints: DataFrame, threshold: int = 3, blocks: int | None = None) -> DataFrame:
     """(a, b, distance): classes, by their smallest ids, whose fingerprints differ in 1 to threshold bits.
 
-    The classes are written first: the self-join reads them twice. Without blocks their number sets the keys.
+    The classes are written first: the self-join reads them twice. Without blocks their number sets the keys. A pair
+    that meets by several keys comes from the first of them, so pairs aren't shuffled to be made distinct.
     """
-    reps = written(classes(prints), "classes")
-    blocks = blocks or blocks_for(reps.count(), threshold)
-    keyed = reps.select("doc_id", "fingerprint", F.explode(F.array(*_keys(F.col("fingerprint"), threshold, blocks))).alias("key"))
-    a, b = keyed.alias("a"), keyed.alias("b")
+    keyed, masks = _keyed(written(classes(prints), "classes"), threshold, blocks)
+    a, b = keyed.alias("a"), keyed.alias("b").hint("merge")
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id")))
-    met = met.where(hamming(F.col("a.fingerprint"), F.col("b.fingerprint")) <= threshold)
-    return met.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), hamming(F.col("a.fingerprint"), F.col("b.fingerprint")).alias("distance")).distinct()
+    differ = F.col("a.fingerprint").bitwiseXOR(F.col("b.fingerprint"))
+    first = F.array_position(F.array(*(_and(differ, mask) for mask in masks)), F.lit(0).cast("long")) - 1
+    met = met.where(F.bit_count(differ) <= threshold).where(first == F.col("a.key.n"))
+    return met.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), F.bit_count(differ).alias("distance"))
+
+
+def _trees(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
+    """Rows (n, bits, doc_id, fingerprint) in the order of n and bits -> edges (a, b) that link what lies within the threshold in a bucket.
+
+    Each row of a bucket is compared, in numpy, with those that no row before it has reached, which are few where many are near.
+    """
+    kept: list[np.ndarray] = []
+
+    def edges(rows: list[np.ndarray]) -> pa.RecordBatch:
+        n, bits, ids, prints = rows
+        borders = np.flatnonzero(np.concatenate([[True], (n[1:] != n[:-1]) | (bits[1:] != bits[:-1]), [True]]))
+        sizes, left, right = np.diff(borders), [], []
+        for at, size in zip(borders[:-1][sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+            own, words = ids[at : at + size], prints[at : at + size].view(np.uint64)
+            free, reached = np.arange(1, size), [0]
+            while len(free):
+                k = reached.pop() if reached else None
+                if k is None:  # another component
+                    k, free = free[0], free[1:]
+                near = np.bitwise_count(words[free] ^ words[k]) <= threshold
+                if near.any():
+                    hit = free[near]
+                    left.append(np.full(len(hit), own[k]))
+                    right.append(own[hit])
+                    reached.extend(hit.tolist())
+                    free = free[~near]
+        join = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(join(left), pa.int64()), pa.array(join(right), pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        rows = [np.concatenate(x) for x in zip(*kept, _columns(batch), strict=True)] if kept else _columns(batch)
+        if not len(rows[0]):
+            continue
+        # the last bucket may go on in the next batch
+        end = len(rows[0]) - int(np.argmin(np.append((rows[0] == rows[0][-1])[::-1] & (rows[1] == rows[1][-1])[::-1], False)))
+        if end:
+            yield edges([x[:end] for x in rows])
+        kept = [[x[end:] for x in rows]]
+    if kept:
+        yield edges(kept[0])
+
+
+def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+
+
+def near_links(reps: DataFrame, threshold: int, blocks: int | None = None) -> DataFrame:
+    """(a, b): enough of the near pairs of classes to link all that they link, at most one for each class and key."""
+    keyed, _ = _keyed(reps, threshold, blocks)
+    rows = keyed.select("key.n", "key.bits", F.col("doc_id").cast("long").alias("doc_id"), "fingerprint").repartition("n", "bits").sortWithinPartitions("n", "bits")
+    return rows.mapInArrow(lambda batches: _trees(batches, threshold), "a bigint, b bigint")
 
 
 def first_pairs(prints: DataFrame, threshold: int = 3, n: int = 12) -> DataFrame:
@@ -137,9 +201,8 @@ def first_pairs(prints: DataFrame, threshold: int = 3, n: int = 12) -> DataFrame
 def groups(prints: DataFrame, threshold: int = 3, blocks: int | None = None, least: int = 2) -> DataFrame:
     """(group_id, size, doc_id): members of single-linkage groups of at least `least` documents; group_id is the smallest id."""
     prints = written(prints, "prints")
-    pairs = near_pairs(prints, threshold, blocks).select("a", "b")
-    reps = classes(prints)
-    roots = connected_components(pairs)
+    reps = written(classes(prints), "classes")
+    roots = connected_components(near_links(reps, threshold, blocks), loops=False)
     labelled = reps.join(roots, reps["doc_id"] == roots["node"], "left").select("fingerprint", "copies", F.coalesce("component", "doc_id").alias("group_id"))
     sizes = labelled.groupBy("group_id").agg(F.sum("copies").alias("size")).where(F.col("size") >= least)
     members = prints.join(labelled.select("fingerprint", "group_id"), "fingerprint").join(sizes, "group_id")
