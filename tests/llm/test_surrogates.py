@@ -173,3 +173,20 @@ def test_against_brute_force(spark):
             assert known.setdefault(form, put) == put and rendered.setdefault(put, form) == form
     real = {plain_form(m[0]) for _, t in rows for m in regex.finditer(S.ANY, t)}
     assert len(known) > 100 and not set(rendered) & real
+
+
+def test_texts_are_read_twice_at_most(spark):
+    """Once for the entities and once to be rewritten, also where surrogates meet."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    texts = [f"{c}@x.org and {c}@x.org" for c in "abcdefghijklmnopqrstuvwxyz"] + ["no one", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in S.replace_entities(docs.mapInArrow(counted, docs.schema)).collect()}
+    assert seen.value == 2 * len(texts)
+    assert len({got[k] for k in range(26)}) == 26 and all(len(set(got[k].split(" and "))) == 1 for k in range(26))
+    assert (got[26], got[27]) == ("no one", None)

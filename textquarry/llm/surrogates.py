@@ -348,14 +348,15 @@ def _resolve(forms: DataFrame, new: Column, most_rounds: int) -> DataFrame | Non
 def replace_entities(docs: DataFrame, *, text_col: str = "text", secret: str = "change-me", count_col: str | None = None) -> DataFrame:
     """The documents with every entity replaced; with count_col also the number of entities."""
     text = docs[text_col]
-    found = docs.select(F.explode(entities(text)).alias("e")).select(kind_of(F.col("e")).alias("kind"), "e")
-    forms = written(_with_surnames(found.select("kind", canon(F.col("kind"), F.col("e")).alias("form")).distinct()), "forms")
+    # one pass over the texts; kept with the text's hash, so that entities with further attempts need no other
+    found = docs.select(F.xxhash64(text).alias("__text"), F.explode(F.array_distinct(entities(text))).alias("e"))
+    found = found.select("__text", kind_of(F.col("e")).alias("kind"), "e").select("__text", "kind", canon(F.col("kind"), F.col("e")).alias("form"))
+    found = written(found, "found")
+    forms = written(_with_surnames(found.select("kind", "form").distinct()), "forms")
     odd = resolve(forms, secret)
     attempts = None
     if odd is not None:
-        keyed = docs.select(F.xxhash64(text).alias("__text"), F.explode(F.array_distinct(entities(text))).alias("e"))
-        keyed = keyed.select("__text", kind_of(F.col("e")).alias("kind"), "e").select("__text", "kind", canon(F.col("kind"), F.col("e")).alias("form"))
-        keyed = _with_surnames(keyed)
+        keyed = _with_surnames(found)
         name = F.concat_ws("|", "kind", "form")
         attempts = keyed.join(odd, ["kind", "form"]).groupBy("__text").agg(F.map_from_entries(F.collect_list(F.struct(name, "attempt"))).alias("__attempts"))
 
