@@ -83,6 +83,11 @@ def test_deflate_any_bytes():
     assert len(I.deflate_fixed(b"\0" * 70000)) < 700
 
 
+def test_symbols_are_coded_once():
+    assert len(I._SYMBOLS) == 288 and len({(c, n) for c, n in I._SYMBOLS}) == 288
+    assert I._SYMBOLS[0] == (int("00001100", 2), 8) and I._SYMBOLS[256] == (0, 7) and I._SYMBOLS[285] == (int("10100011", 2), 8)
+
+
 def test_sizes():
     assert I.fit_within(1800, 900) == (900, 450) and I.fit_within(100, 50) == (100, 50)
     flat = np.full((8, 6, 4), 77, np.uint8)
